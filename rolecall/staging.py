@@ -6,6 +6,7 @@ reading it again, so a lost executor costs one stage and never the whole job.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -14,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="rolecall-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+
+
+@functools.cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="rolecall-")
 
 
 def stage_table(df: DataFrame) -> DataFrame:
