@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolecall.llm import fingerprint, line_hash, packing
+from rolecall.llm import decontaminate, fingerprint, line_hash, packing, privacy, quality, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": packing.op1_packing,
+        "op2_url_filter": url_filter.op2_url_filter,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op5_fingerprint": fingerprint.op5_fingerprint,
+        "op6_quality": quality.op6_quality,
         "op7_line_hash": line_hash.op7_line_hash,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_privacy": privacy.op10_privacy,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_hash": line_hash.OP7_SQL}
+    return {"op2_url_filter": url_filter.OP2_SQL, "op7_line_hash": line_hash.OP7_SQL}

@@ -17,6 +17,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Also splits words at ASCII punctuation.
+PUNCTUATION = _SPACE.copy()
+PUNCTUATION[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _powers = {b: np.ones(1, dtype=np.uint64) for b in (_BASE, _INVERSE)}
 
 
@@ -54,14 +57,14 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end byte (in its text) of each word, and where each text's words begin.
 
-    Words are runs without ASCII white space, with A-Z lower-cased.
+    Words are runs without ASCII white space, or the bytes named by ``between``, with A-Z lower-cased.
     """
     buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     low = _LOWER[buf]
-    inside = ~_SPACE[low]
+    inside = ~between[low]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0))
     start, end = edge[0::2], edge[1::2]
     prefix = np.zeros(len(buf) + 1, dtype=np.uint64)
