@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolecall.llm import decontaminate, fingerprint, line_hash, packing, privacy, quality, toxicity, url_filter
+from rolecall.llm import decontaminate, fingerprint, line_hash, near_dup, packing, privacy, quality, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,10 +17,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_fingerprint": fingerprint.op5_fingerprint,
         "op6_quality": quality.op6_quality,
         "op7_line_hash": line_hash.op7_line_hash,
+        "op8_near_dup": near_dup.op8_near_dup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_privacy": privacy.op10_privacy,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.OP2_SQL, "op7_line_hash": line_hash.OP7_SQL}
+    return {"op2_url_filter": url_filter.OP2_SQL, "op7_line_hash": line_hash.OP7_SQL, "op8_near_dup": near_dup.OP8_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import defaultdict
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -110,32 +110,42 @@ def _emit(of_text, *kinds: pa.DataType, names: list[str]):
     return run
 
 
-def _terms_of(text: str) -> list[tuple[str]]:
-    return [(f,) for f in set().union(*map(features, set(fold(text).split())))] if text else []
+def _terms_of(text: str) -> list[tuple[str, int]]:
+    """Each term once, with one of 64 bits by the word before its first place."""
+    found, before = {}, ""
+    for word in fold(text).split():
+        if word not in found:
+            found[word] = 1 << (zlib.crc32(before.encode()) & 63)
+        before = word
+    terms: dict[str, int] = {}
+    for word, bit in found.items():
+        for f in features(word):
+            terms.setdefault(f, bit)
+    return [(f, bit - (1 << 64) * (bit >> 63)) for f, bit in terms.items()]
 
 
 def _phrases_of(lexicon: Lexicon):
     matcher = None
 
-    def run(text: str) -> set[tuple[str]]:
+    def run(text: str) -> set[tuple[str, int]]:
         nonlocal matcher
         matcher = matcher or Matcher(lexicon)
         folded, out = fold(text), set()
         for place in matcher.matches(folded):
             before, after = folded[max(0, place - 60) : place].split(), folded[place : place + 120].split()
             if after:
-                out |= {(f"{before[-1]} {after[0]}",)} if before else set()
-                out |= {(f"{after[0]} {after[1]}",)} if len(after) > 1 else set()
+                out |= {(f"{before[-1]} {after[0]}", 1)} if before else set()
+                out |= {(f"{after[0]} {after[1]}", 1)} if len(after) > 1 else set()
         return out
 
     return run
 
 
 def _counted(rows: DataFrame, of_text, least: int) -> DataFrame:
-    """Documents of each class by term."""
+    """Documents of each class by term, and the number of different bits among the toxic ones."""
     return (
-        rows.mapInArrow(_emit(of_text, pa.string(), names=["label", "term"]), "label int, term string").groupBy("term")
-        .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+        rows.mapInArrow(_emit(of_text, pa.string(), pa.int64(), names=["label", "term", "bit"]), "label int, term string, bit long").groupBy("term")
+        .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"), F.bit_count(F.bit_or(F.expr("if(label = 1, bit, 0L)"))).alias("contexts"))
         .where(F.col("toxic") + F.col("clean") >= least)
     )
 
@@ -144,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 8
     """Learns the lexicon from labelled documents outside the held-out fifth.
 
     ``sample`` documents of each class at most, the first by a hash of doc_id. A term
-    enters if at least ``least`` toxic documents hold it and its share among them is
+    enters if at least ``least`` toxic documents hold it, after different words (so
+    that copies of one text don't make its words terms), and its share among them is
     ``lift`` times that among clean ones; its weight is that log ratio. Phrases of
     a term and a neighbour that clean documents hold more often than toxic ones
     are exceptions. Score: logistic in the summed weights and their density.
@@ -156,8 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 8
     if not toxic or not clean:
         return Lexicon({}, [], (4.0 if toxic else -4.0, 0.0, 0.0))
     ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
-    terms = _counted(rows, _terms_of, least).where((F.col("toxic") >= least) & (ratio >= lift)).select("term", F.log(ratio).alias("w"))
+    terms = _counted(rows, _terms_of, least).where((F.col("toxic") >= least) & (F.col("contexts") >= 0.7 * least) & (ratio >= lift)).select("term", F.log(ratio).alias("w"))
     weights = {r["term"]: r["w"] for r in terms.orderBy(F.desc("w"), "term").limit(MOST_TERMS).collect()}
+    # A beginning that says much less than a longer term only borrows from it.
+    weights = {t: w for t, w in weights.items() if not any(x.startswith(t) and weights[x] > w + 1 for x in weights)}
     plain = Lexicon(weights, [], (0.0, 1.0, 0.0))
     phrases = _counted(rows, _phrases_of(plain), 3).where("clean >= 3 and clean > toxic")
     found = plain._replace(exceptions=[r["term"] for r in phrases.orderBy(F.desc("clean"), "term").limit(MOST_TERMS).collect()])
