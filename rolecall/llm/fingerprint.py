@@ -147,7 +147,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next
     and the exact common prefixes common_edited and common_next.
     """
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     found = stage_table(ordered.mapInArrow(_ordered, f"{_RESULT}, edge string, text string").withColumn("part", F.spark_partition_id()))
     # Two rows a partition: their order needs the ids and part numbers alone.
     edges = found.where("edge is not null").select("part", "edge", "doc_id", "text")
