@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolecall.llm import decontaminate, fingerprint, line_hash, near_dup, packing, privacy, quality, toxicity, url_filter
+from rolecall.llm import decontaminate, fingerprint, line_hash, line_join, near_dup, packing, privacy, quality, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": packing.op1_packing,
         "op2_url_filter": url_filter.op2_url_filter,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_line_join": line_join.op4_line_join,
         "op5_fingerprint": fingerprint.op5_fingerprint,
         "op6_quality": quality.op6_quality,
         "op7_line_hash": line_hash.op7_line_hash,
