@@ -5,11 +5,303 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rolecall import vocabulary as v
+from rolecall.functions import text as t
+from rolecall.functions import urls
+from rolecall.operators import dedupe, export, gate, health, listing, normalize, score, sync
+from rolecall.operators.listing import JobFilter
+from rolecall.plans.sql import (
+    JOBS_SQL, NORMALIZED_SQL, NOW, PARTS_SQL, REASONS_SQL, brand_sql, canonical_sql, company_sql, host_sql, lit, rx, strip_sql,
+)
+from rolecall.sources.postings import AS_OF, POSTINGS_SQL, postings
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None):
+    def register(f: Query) -> Query:
+        name = f.__name__
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.normalize(postings(spark, sf_dir), AS_OF)
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored jobs: normalized, gated, scored, with planted link states."""
+    jobs = normalize.with_windowed_rules(_normalized(spark, sf_dir))
+    k = F.col("ordinal")
+    return score.scored(jobs.withColumn("drop_reason", gate.drop_reason(AS_OF)), AS_OF).withColumns({
+        "is_active": k % 13 != 0, "link_status": F.when(k % 17 == 0, "dead").when(k % 17 == 1, "alive"),
+        "link_checked_at": F.when(k % 17 <= 1, F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), (k % 50).cast("int"))),
+    })
+
+
+_LIVE = "coalesce(link_status <> 'dead', true)"
+_CARD = ("source", "source_job_id", "title", "match_score")
+
+
+@_query(f"WITH {JOBS_SQL} SELECT source, source_job_id, title, company, match_score, array_to_string({REASONS_SQL}, '; ') AS reasons FROM jobs "
+        "WHERE drop_reason IS NULL AND employment_type = 'internship' ORDER BY match_score DESC, source, source_job_id LIMIT 50")
+def ranked_internships(spark, sf_dir):
+    """The top 50 internships that pass the gate, with reasons: the flagship."""
+    jobs = _jobs(spark, sf_dir).where("drop_reason is null and employment_type = 'internship'")
+    return jobs.orderBy(F.desc("match_score"), "source", "source_job_id").limit(50).select(*_CARD, "company", F.array_join("match_reasons", "; ").alias("reasons"))
+
+
+def _page(f: JobFilter, order_by: str = "match_score", limit: int = 50, offset: int = 0):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return listing.page(_jobs(spark, sf_dir), f, AS_OF, order_by, limit, offset).select(*_CARD)
+
+    return run
+
+
+def _listing(name: str, f: JobFilter, where: str, order_by: str = "match_score", order: str = "match_score DESC", limit: int = 50, offset: int = 0) -> None:
+    _QUERIES[name] = _page(f, order_by, limit, offset)
+    _SQL[name] = f"WITH {JOBS_SQL} SELECT {', '.join(_CARD)} FROM jobs WHERE {_LIVE} AND {where} ORDER BY {order} NULLS LAST, source, source_job_id LIMIT {limit} OFFSET {offset}"
+
+
+_listing("search_active_newest", JobFilter(), "is_active", "posted_at", "coalesce(posted_at, first_seen_at) DESC")
+_listing("search_yoe_or_unknown", JobFilter(max_yoe=2), "is_active AND (min_yoe <= 2 OR min_yoe IS NULL)")
+_listing("search_yoe_known", JobFilter(max_yoe=3, include_unknown_yoe=False), "is_active AND min_yoe <= 3")
+_listing("search_regions_any", JobFilter(regions=("india", "apac")), "is_active AND list_has_any(hiring_regions, ['india', 'apac'])")
+_listing("search_tech_all", JobFilter(tech=("python", "react")), "is_active AND list_has_all(tech_stack, ['python', 'react'])")
+_listing("search_text_like", JobFilter(query="soft_are"), "is_active AND (lower(title) LIKE '%soft_are%' OR lower(company) LIKE '%soft_are%')")
+_listing("search_fresh_coalesced", JobFilter(max_age_days=30), f"is_active AND coalesce(posted_at, first_seen_at) >= {NOW} - INTERVAL 30 DAY")
+_listing("search_page_two", JobFilter(), "is_active", limit=40, offset=40)
+_listing("search_reachable", JobFilter(reachable_only=True), "is_active AND (list_has_any(hiring_regions, ['worldwide', 'india']) OR coalesce(visa_sponsorship, false))")
+_listing("search_roles_and_sources", JobFilter(roles=("swe", "backend"), employment=("internship", "full_time"), sources=("lever", "ashby")),
+         "is_active AND role_category IN ('swe', 'backend') AND employment_type IN ('internship', 'full_time') AND source IN ('lever', 'ashby')")
+_listing("search_remote_new_grad", JobFilter(remote_only=True, new_grad_only=True), "is_active AND is_remote AND is_new_grad")
+_listing("search_first_seen", JobFilter(active_only=False), "true", "first_seen_at", "first_seen_at DESC")
+
+
+@_query(f"WITH {JOBS_SQL} SELECT count(*) AS total, count(*) > 80 AS has_more FROM jobs WHERE {_LIVE} AND is_active AND is_remote")
+def search_total(spark, sf_dir):
+    """The total beside a page."""
+    return listing.total(_jobs(spark, sf_dir), JobFilter(remote_only=True), AS_OF, 40, 40)
+
+
+@_query(f"""WITH {JOBS_SQL} SELECT count(*) AS total, count(*) FILTER (is_active) AS active, count(*) FILTER (is_active AND is_remote) AS remote,
+  count(*) FILTER (is_active AND employment_type = 'internship') AS internships, count(*) FILTER (is_active AND list_has_any(hiring_regions, ['worldwide', 'india'])) AS reachable,
+  count(*) FILTER (is_active AND list_contains(hiring_regions, 'unknown')) AS pending FROM jobs""")
+def stats_counts(spark, sf_dir):
+    return listing.stats(_jobs(spark, sf_dir))
+
+
+@_query(f"WITH {JOBS_SQL} SELECT role_category, count(*) AS n FROM jobs WHERE is_active GROUP BY 1")
+def stats_by_role(spark, sf_dir):
+    return listing.counts_by(_jobs(spark, sf_dir), "role_category")
+
+
+@_query(f"WITH {JOBS_SQL} SELECT source, count(*) AS n FROM jobs WHERE is_active GROUP BY 1")
+def stats_by_source(spark, sf_dir):
+    return listing.counts_by(_jobs(spark, sf_dir), "source")
+
+
+@_query(f"WITH {JOBS_SQL} SELECT " + ", ".join(f"array_to_string(list_sort(list(DISTINCT {a})), ',') AS {b}" for a, b in (("source", "sources"), ("role_category", "roles"), ("employment_type", "employment"))) + " FROM jobs")
+def facets(spark, sf_dir):
+    return listing.facets(_jobs(spark, sf_dir))
+
+
+@_query(f"WITH {JOBS_SQL} SELECT source, source_job_id FROM jobs WHERE is_active AND (link_checked_at IS NULL OR link_checked_at < {NOW} - INTERVAL 24 HOUR) ORDER BY match_score DESC, source, source_job_id LIMIT 200")
+def link_check_queue(spark, sf_dir):
+    """The 200 best active jobs whose link check is due."""
+    return listing.needs_link_check(_jobs(spark, sf_dir), AS_OF, 24, 200).select("source", "source_job_id")
+
+
+@_query(f"WITH {NORMALIZED_SQL} SELECT source_job_id, min_yoe, max_yoe, yoe_source FROM (SELECT source_job_id, read_min AS min_yoe, read_max AS max_yoe, yoe_source FROM read)")
+def yoe_extraction(spark, sf_dir):
+    yoe = t.extract_yoe(F.col("title"), F.col("description"))
+    return postings(spark, sf_dir).select("source_job_id", yoe.alias("y")).select("source_job_id", F.col("y.min_yoe").alias("min_yoe"), F.col("y.max_yoe").alias("max_yoe"), F.col("y.source").alias("yoe_source"))
+
+
+@_query(f"WITH {NORMALIZED_SQL} SELECT source_job_id, array_to_string(grad_years, ',') AS grad_years FROM read WHERE len(grad_years) > 0")
+def grad_years(spark, sf_dir):
+    years = t.extract_grad_years(t.text_of(F.col("title"), F.col("description")), int(AS_OF[:4]))
+    found = postings(spark, sf_dir).select("source_job_id", years.alias("y")).where("size(y) > 0")
+    return found.select("source_job_id", F.array_join(F.transform("y", lambda x: x.cast("string")), ",").alias("grad_years"))
+
+
+@_query(f"WITH {NORMALIZED_SQL} SELECT source_job_id, role_category FROM read")
+def role_classification(spark, sf_dir):
+    return postings(spark, sf_dir).select("source_job_id", t.classify_role(F.col("title"), F.col("description"), F.col("tags")).alias("role_category"))
+
+
+@_query(f"WITH {NORMALIZED_SQL} SELECT source_job_id, array_to_string(hiring_regions, ',') AS regions, region_source, region_confidence FROM read")
+def region_resolution(spark, sf_dir):
+    place = t.resolve_regions(F.col("description"), F.col("location_raw"), F.col("hiring_regions_hint"))
+    return postings(spark, sf_dir).select("source_job_id", place.alias("p")).select("source_job_id", F.array_join("p.regions", ",").alias("regions"), F.col("p.source").alias("region_source"), F.col("p.confidence").alias("region_confidence"))
+
+
+@_query(f"WITH {NORMALIZED_SQL} SELECT source_job_id, is_remote, requires_work_auth, visa_sponsorship, {rx('description', v.RELOCATION)} AS relocation, us_eligibility, unpaid, employment_type FROM read")
+def eligibility_flags(spark, sf_dir):
+    body, desc = t.text_of(F.col("title"), F.col("description")), F.col("description")
+    kind = F.when(F.col("title").rlike(v.INTERN), "internship").when(F.col("title").rlike(v.STRONG_SENIORITY), "full_time").otherwise(F.col("employment_type_hint"))
+    return postings(spark, sf_dir).select(
+        "source_job_id", t.detect_remote(F.col("title"), F.col("location_raw"), F.col("tags")).alias("is_remote"), t.detect_work_auth(desc).alias("requires_work_auth"),
+        t.detect_sponsorship(desc).alias("visa_sponsorship"), t.detect_relocation(desc).alias("relocation"), t.requires_us_eligibility(body).alias("us_eligibility"),
+        t.is_unpaid(body).alias("unpaid"), kind.alias("employment_type"),
+    )
+
+
+@_query(f"WITH {NORMALIZED_SQL} SELECT source_job_id, array_to_string(tech_stack, ',') AS tech_stack FROM read")
+def tech_stack_array(spark, sf_dir):
+    return postings(spark, sf_dir).select("source_job_id", F.array_join(t.extract_tech_stack(t.text_of(F.col("title"), F.col("description")), F.col("tags")), ",").alias("tech_stack"))
+
+
+@_query(f"WITH {POSTINGS_SQL} SELECT source_job_id, {company_sql('company')} AS company_normalized, {brand_sql('company')} AS brand, "
+        "trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 +#.]', ' ', 'g'), '\\s+', ' ', 'g')) AS title_normalized, "
+        "sha256(title || chr(0) || company || chr(0) || coalesce(description, '')) AS description_hash FROM postings")
+def dedupe_keys(spark, sf_dir):
+    c = F.col
+    return postings(spark, sf_dir).select("source_job_id", t.normalize_company(c("company")).alias("company_normalized"), t.brand_name(c("company")).alias("brand"), t.normalize_title(c("title")).alias("title_normalized"), t.description_hash(c("title"), c("company"), c("description")).alias("description_hash"))
+
+
+@_query(f"SELECT page_id, {canonical_sql('url')} AS canonical, {strip_sql('url')} AS stripped, {host_sql('url')} AS host FROM pages")
+def canonical_urls(spark, sf_dir):
+    """Canonical forms of all page URLs."""
+    url = F.col("url")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", urls.canonical_url(url).alias("canonical"), urls.strip_tracking(url).alias("stripped"), urls.host_of(url).alias("host"))
+
+
+@_query(f"WITH {POSTINGS_SQL} SELECT source_job_id, {canonical_sql('url')} AS canonical_url, CASE " + " ".join(f"WHEN {rx('url', p)} THEN {lit(n)}" for n, p in v.ATS_SIGNATURES)
+        + f" END AS ats, {host_sql('url')} IN ({', '.join(map(lit, v.AGGREGATOR_HOSTS))}) AS aggregator FROM postings")
+def posting_urls(spark, sf_dir):
+    url = F.col("url")
+    return postings(spark, sf_dir).select("source_job_id", urls.canonical_url(url).alias("canonical_url"), urls.detect_ats(url).alias("ats"), urls.is_aggregator(url).alias("aggregator"))
+
+
+@_query(f"WITH {JOBS_SQL} SELECT source_job_id, drop_reason FROM gated")
+def gate_reasons(spark, sf_dir):
+    jobs = normalize.with_windowed_rules(_normalized(spark, sf_dir))
+    return jobs.select("source_job_id", gate.drop_reason(AS_OF).alias("drop_reason"))
+
+
+@_query(f"WITH {JOBS_SQL} SELECT drop_reason, count(*) AS n FROM gated WHERE drop_reason IS NOT NULL GROUP BY 1 ORDER BY n DESC, drop_reason LIMIT 10")
+def drop_reasons(spark, sf_dir):
+    """The ten most frequent reasons."""
+    found = gate_reasons(spark, sf_dir).where("drop_reason is not null").groupBy("drop_reason").agg(F.count("*").alias("n"))
+    return found.orderBy(F.desc("n"), "drop_reason").limit(10)
+
+
+@_query(f"WITH {JOBS_SQL} SELECT source_job_id, match_score, " + ", ".join(f"round({sql}, 2) AS {name}" for name, sql in PARTS_SQL.items()) + " FROM jobs")
+def score_parts(spark, sf_dir):
+    return score.scored(_normalized(spark, sf_dir), AS_OF).select("source_job_id", "match_score", *(F.col("match_parts")[name].alias(name) for name in PARTS_SQL))
+
+
+@_query(f"WITH {JOBS_SQL} SELECT source_job_id, array_to_string({REASONS_SQL}, '; ') AS reasons FROM jobs")
+def score_reasons(spark, sf_dir):
+    return _normalized(spark, sf_dir).select("source_job_id", F.array_join(score.reasons(AS_OF), "; ").alias("reasons"))
+
+
+@_query(None)
+def dedupe_survivors(spark, sf_dir):
+    """What greedy dedupe keeps; order-dependent, so tests hold it against a sequential version."""
+    marked = dedupe.dedupe(_normalized(spark, sf_dir))
+    return dedupe.survivors(marked).select("source", "source_job_id", "canonical_url", "company_normalized", "title_normalized", F.size("tech_stack").alias("n_skills"))
+
+
+def _run_of(jobs: DataFrame, run: int) -> DataFrame:
+    """A listing as of run ``run``: some keys gone, some titles changed."""
+    k = F.col("ordinal")
+    title = F.when(k % 17 == run, F.concat("title", F.lit(" (updated)"))).otherwise(F.col("title"))
+    return jobs.where(k % 10 != run).select("source", "source_job_id", F.concat(F.lit("board-"), (k % 6).cast("string")).alias("scope"), F.sha1(title).alias("fingerprint"), F.lit(0).alias("missed_runs"), "ordinal")
+
+
+@_query(f"""WITH {POSTINGS_SQL}, both AS (
+  SELECT source, source_job_id, 'board-' || CAST(ordinal % 6 AS VARCHAR) AS scope, ordinal,
+    ordinal % 10 <> 1 AS had, ordinal % 10 <> 2 AS has, (ordinal % 17 = 1) <> (ordinal % 17 = 2) AS changed FROM postings
+)
+SELECT source, source_job_id,
+  CASE WHEN NOT had THEN 'insert' WHEN has THEN CASE WHEN changed THEN 'update' ELSE 'skip' END WHEN scope = 'board-5' THEN 'retired' WHEN scope IN ('board-3', 'board-4') THEN 'uncovered' ELSE 'miss' END AS action,
+  CAST(CASE WHEN had AND NOT has AND scope IN ('board-0', 'board-1', 'board-2') THEN 1 ELSE 0 END AS INT) AS missed_runs
+FROM both WHERE had OR has""".replace("both AS", "states AS").replace("FROM both", "FROM states"))
+def sync_actions(spark, sf_dir):
+    """Second run against the first: three boards covered, one retired, two failed."""
+    raw = postings(spark, sf_dir)
+    return sync.sync_actions(_run_of(raw, 1), _run_of(raw, 2), ["board-0", "board-1", "board-2"], [f"board-{i}" for i in range(5)], full=False)
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run history out of ``events``: a connector per type, a run per day."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("ts is not null")
+    return events.groupBy(F.col("event_type").alias("connector"), F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("started_at")).agg(
+        F.when(F.count_if(F.col("user_id") % 97 == 0) > 2, F.lit(0)).otherwise(F.count("*")).cast("long").alias("found"))
+
+
+_RUNS_SQL = "runs AS (SELECT event_type AS connector, CAST(date_trunc('day', ts) AS TIMESTAMP) AS started_at, CASE WHEN count(*) FILTER (user_id % 97 = 0) > 2 THEN 0 ELSE count(*) END AS found FROM events WHERE ts IS NOT NULL GROUP BY 1, 2)"
+
+
+@_query(f"WITH {_RUNS_SQL} SELECT connector, started_at, found, k FROM (SELECT *, CAST(row_number() OVER (PARTITION BY connector ORDER BY started_at DESC) AS INT) AS k FROM runs) WHERE k <= 9")
+def run_history_top9(spark, sf_dir):
+    return health.run_history(_runs(spark, sf_dir)).select("connector", "started_at", "found", "k")
+
+
+@_query(f"WITH {_RUNS_SQL} SELECT connector, max(started_at) AS started_at, arg_max(found, started_at) AS found FROM runs GROUP BY 1")
+def connector_health_latest(spark, sf_dir):
+    return health.latest_runs(_runs(spark, sf_dir)).select("connector", "started_at", "found")
+
+
+@_query(f"""WITH {_RUNS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY connector ORDER BY started_at DESC) AS k FROM runs), seen AS (
+  SELECT connector, max(CASE WHEN k = 1 THEN found END) AS last_run, list_sort(list(found) FILTER (k > 1 AND found > 0)) AS b FROM ranked WHERE k <= 9 GROUP BY 1
+), told AS (SELECT connector, last_run, CASE WHEN len(b) >= 3 THEN b[len(b) // 2 + 1] END AS median_run FROM seen)
+SELECT connector, last_run, median_run, CASE WHEN last_run = 0 THEN 'broken' WHEN coalesce(last_run < greatest(1, 0.4e0 * median_run), false) THEN 'degraded' ELSE 'ok' END AS severity FROM told""")
+def trend_median_collapse(spark, sf_dir):
+    trend = health.trends(_runs(spark, sf_dir))
+    down = health.collapsed(F.col("last_run"), F.col("median_run"))
+    return trend.withColumn("severity", health.severity(F.lit(None), F.col("last_run"), down, F.lit(0), F.lit(0)))
+
+
+@_query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+def drop_duplicate_documents(spark, sf_dir):
+    """Texts that occur more than once; grouped by a digest, so that texts aren't shuffled."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    return docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1").drop("digest")
+
+
+@_query(None)
+def export_snapshot(spark, sf_dir):
+    """The snapshot's JSON lines; checked field by field in tests."""
+    return export.snapshot(_jobs(spark, sf_dir).where("drop_reason is null"), AS_OF)
+
+
+@_query(f"""WITH {NORMALIZED_SQL}, gaps AS (
+  SELECT sha256(title || chr(0) || company || chr(0) || description) AS description_hash, CASE WHEN list_contains(hiring_regions, 'unknown') THEN 0 ELSE 1 END AS u, ordinal
+  FROM normalized WHERE description IS NOT NULL AND (list_contains(hiring_regions, 'unknown') OR min_yoe IS NULL OR requires_work_auth IS NULL)
+), cached AS (SELECT DISTINCT description_hash FROM gaps WHERE ordinal % 5 = 0), firsts AS (
+  SELECT description_hash, min((u, ordinal)) AS f FROM gaps WHERE description_hash NOT IN (SELECT description_hash FROM cached) GROUP BY 1
+), picked AS (SELECT description_hash, f[1] AS u, f[2] AS ordinal FROM firsts ORDER BY 2, 3 LIMIT 480)
+SELECT description_hash, ordinal, CAST((row_number() OVER (ORDER BY u, ordinal) - 1) // 12 AS INT) AS batch FROM picked""")
+def enrichment_todo(spark, sf_dir):
+    """The next texts to enrich, those of every fifth posting being cached."""
+    jobs = _normalized(spark, sf_dir)
+    gaps = jobs.where(normalize.needs_enrichment() & F.col("description").isNotNull())
+    return export.enrichment_todo(jobs, gaps.where("ordinal % 5 = 0").select("description_hash").distinct())
+
+
+@_query(f"WITH {JOBS_SQL} SELECT source, source_job_id, match_score FROM jobs WHERE first_seen_at > {NOW} - INTERVAL 3 DAY AND source || ':' || source_job_id NOT IN (SELECT source || ':' || source_job_id FROM postings WHERE ordinal % 3 = 0) "
+        "AND source || ':' || source_job_id IN (SELECT source || ':' || source_job_id FROM postings WHERE ordinal % 2 = 0)")
+def saved_not_applied_new(spark, sf_dir):
+    """Saved jobs not applied to and new since the last visit: a semi and an anti join."""
+    raw, key = postings(spark, sf_dir), ["source", "source_job_id"]
+    jobs = _jobs(spark, sf_dir).where(F.col("first_seen_at") > F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(F.lit(3)))
+    return jobs.join(raw.where("ordinal % 2 = 0").select(*key), key, "left_semi").join(raw.where("ordinal % 3 = 0").select(*key), key, "left_anti").select(*key, "match_score")
