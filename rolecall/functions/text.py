@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -54,13 +55,22 @@ def classify_role(title: Column, description: Column, tags: Column) -> Column:
     for name, pattern in v.INTERN_ROLES:
         role = role.when(intern & t.rlike(pattern), name)
     around = F.concat_ws(" ", F.array_join(tags, " "), F.substring(F.coalesce(description, F.lit("")), 1, 1500))
-    skills = extract_tech_stack(around, tags)
+    return role.when(intern, _once(extract_tech_stack(around, tags), _role_of_skills)).otherwise("other")
+
+
+def _role_of_skills(skills: Column) -> Column:
     has = lambda names: F.arrays_overlap(skills, F.array(*map(F.lit, names)))
+    role = F.when(F.size(skills) == 0, "other")
     for name, names in v.SKILL_ROLES:
         if name == "frontend":
-            role = role.when(intern & has(names) & has(v.FULLSTACK_SERVERS), "fullstack")
-        role = role.when(intern & has(names), name)
-    return role.when(intern & (F.size(skills) > 0), "swe").otherwise("other")
+            role = role.when(has(names) & has(v.FULLSTACK_SERVERS), "fullstack")
+        role = role.when(has(names), name)
+    return role.otherwise("swe")
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: a lambda's argument is a variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _bounded(skill: str) -> str:
@@ -71,8 +81,12 @@ def extract_tech_stack(text: Column, tags: Column) -> Column:
     """Known skills that stand alone in the text or the tags, aliases resolved, sorted."""
     hay = F.lower(F.concat_ws(" ", text, F.array_join(tags, " ")))
     names = dict(v.ALIASES)
-    found = F.array_compact(F.array(*(F.when(hay.rlike(_bounded(s)), F.lit(names.get(s, s))) for s in v.SKILLS)))
-    return F.array_sort(F.array_distinct(found))
+
+    def found(h: Column) -> Column:
+        # Most skills are nowhere in a text: the plain search is much cheaper than the pattern.
+        return F.array_compact(F.array(*(F.when(h.contains(s) & h.rlike(_bounded(s)), F.lit(names.get(s, s))) for s in v.SKILLS)))
+
+    return F.array_sort(F.array_distinct(_once(hay, found)))
 
 
 def detect_work_auth(description: Column) -> Column:

@@ -16,6 +16,7 @@ from rolecall.plans.sql import (
     JOBS_SQL, NORMALIZED_SQL, NOW, PARTS_SQL, REASONS_SQL, brand_sql, canonical_sql, company_sql, host_sql, lit, rx, strip_sql,
 )
 from rolecall.sources.postings import AS_OF, POSTINGS_SQL, postings
+from rolecall.staging import stage_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -45,9 +46,24 @@ def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.normalize(postings(spark, sf_dir), AS_OF)
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored jobs: normalized, gated, scored, with planted link states."""
-    jobs = normalize.with_windowed_rules(_normalized(spark, sf_dir))
+    """The stored jobs, ingested once a session and folder; listings read the stored table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = stage_table(ingest(spark, sf_dir))
+    return _STORED[key]
+
+
+def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalized, gated and scored jobs with planted link states.
+
+    The rules' fields are staged first: gate and score use each of them many times,
+    and a plan that carried the patterns along would match them at every use.
+    """
+    jobs = stage_table(normalize.with_windowed_rules(_normalized(spark, sf_dir)))
     k = F.col("ordinal")
     return score.scored(jobs.withColumn("drop_reason", gate.drop_reason(AS_OF)), AS_OF).withColumns({
         "is_active": k % 13 != 0, "link_status": F.when(k % 17 == 0, "dead").when(k % 17 == 1, "alive"),
@@ -59,6 +75,12 @@ _LIVE = "coalesce(link_status <> 'dead', true)"
 _CARD = ("source", "source_job_id", "title", "match_score")
 
 
+@_query(f"WITH {JOBS_SQL} SELECT source, source_job_id, role_category, employment_type, min_yoe, match_score, drop_reason FROM jobs")
+def stored_jobs(spark, sf_dir):
+    """The whole ingest: rules, gate and score over every posting."""
+    return ingest(spark, sf_dir).select("source", "source_job_id", "role_category", "employment_type", "min_yoe", "match_score", "drop_reason")
+
+
 @_query(f"WITH {JOBS_SQL} SELECT source, source_job_id, title, company, match_score, array_to_string({REASONS_SQL}, '; ') AS reasons FROM jobs "
         "WHERE drop_reason IS NULL AND employment_type = 'internship' ORDER BY match_score DESC, source, source_job_id LIMIT 50")
 def ranked_internships(spark, sf_dir):
@@ -192,8 +214,7 @@ def posting_urls(spark, sf_dir):
 
 @_query(f"WITH {JOBS_SQL} SELECT source_job_id, drop_reason FROM gated")
 def gate_reasons(spark, sf_dir):
-    jobs = normalize.with_windowed_rules(_normalized(spark, sf_dir))
-    return jobs.select("source_job_id", gate.drop_reason(AS_OF).alias("drop_reason"))
+    return _jobs(spark, sf_dir).select("source_job_id", "drop_reason")
 
 
 @_query(f"WITH {JOBS_SQL} SELECT drop_reason, count(*) AS n FROM gated WHERE drop_reason IS NOT NULL GROUP BY 1 ORDER BY n DESC, drop_reason LIMIT 10")
@@ -205,18 +226,18 @@ def drop_reasons(spark, sf_dir):
 
 @_query(f"WITH {JOBS_SQL} SELECT source_job_id, match_score, " + ", ".join(f"round({sql}, 2) AS {name}" for name, sql in PARTS_SQL.items()) + " FROM jobs")
 def score_parts(spark, sf_dir):
-    return score.scored(_normalized(spark, sf_dir), AS_OF).select("source_job_id", "match_score", *(F.col("match_parts")[name].alias(name) for name in PARTS_SQL))
+    return _jobs(spark, sf_dir).select("source_job_id", "match_score", *(F.col("match_parts")[name].alias(name) for name in PARTS_SQL))
 
 
 @_query(f"WITH {JOBS_SQL} SELECT source_job_id, array_to_string({REASONS_SQL}, '; ') AS reasons FROM jobs")
 def score_reasons(spark, sf_dir):
-    return _normalized(spark, sf_dir).select("source_job_id", F.array_join(score.reasons(AS_OF), "; ").alias("reasons"))
+    return _jobs(spark, sf_dir).select("source_job_id", F.array_join("match_reasons", "; ").alias("reasons"))
 
 
 @_query(None)
 def dedupe_survivors(spark, sf_dir):
     """What greedy dedupe keeps; order-dependent, so tests hold it against a sequential version."""
-    marked = dedupe.dedupe(_normalized(spark, sf_dir))
+    marked = dedupe.dedupe(_jobs(spark, sf_dir))
     return dedupe.survivors(marked).select("source", "source_job_id", "canonical_url", "company_normalized", "title_normalized", F.size("tech_stack").alias("n_skills"))
 
 
@@ -293,7 +314,7 @@ def export_snapshot(spark, sf_dir):
 SELECT description_hash, ordinal, CAST((row_number() OVER (ORDER BY u, ordinal) - 1) // 12 AS INT) AS batch FROM picked""")
 def enrichment_todo(spark, sf_dir):
     """The next texts to enrich, those of every fifth posting being cached."""
-    jobs = _normalized(spark, sf_dir)
+    jobs = _jobs(spark, sf_dir)
     gaps = jobs.where(normalize.needs_enrichment() & F.col("description").isNotNull())
     return export.enrichment_todo(jobs, gaps.where("ordinal % 5 = 0").select("description_hash").distinct())
 

@@ -51,14 +51,19 @@ def _pick(values: tuple, index: Column) -> Column:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One raw posting per order."""
+    """One raw posting per order.
+
+    Orders are narrow and the rules that follow are heavy, so their key pairs are
+    dealt to all cores before any text is made of them.
+    """
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     as_of = F.lit(AS_OF).cast("timestamp_ntz")
     url = F.concat(
         F.lit("https://"), _pick(HOSTS, k), F.lit("/jobs/"), F.floor(k / 3).cast("string"),
         F.when(k % 3 == 1, "/?utm_source=feed&gh_jid=7").when(k % 3 == 2, "?gh_jid=7&ref=x#apply").otherwise("?gh_jid=7"),
     )
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    return orders.repartition(spark.sparkContext.defaultParallelism).select(
         _pick(SOURCES, k).alias("source"), k.cast("string").alias("source_job_id"),
         F.when(k % 23 == 0, "").otherwise(url).alias("url"),
         _pick(TITLES, k * 7 + c * 3).alias("title"), _pick(COMPANIES, c).alias("company"),
