@@ -155,7 +155,8 @@ def _candidates(t: float):
             differ = size[active] + size[j] - 2 * need
             ok = np.bitwise_count(bits[active] ^ bits[j]) <= differ
             i, j = active[ok], j[ok]
-            rest = np.minimum(size[i] - place[i], size[j] - place[j]) + np.minimum(place[i], place[j])
+            # A pair counts at its rarest common word alone, so all it shares lies from there on in both.
+            rest = np.minimum(size[i] - place[i], size[j] - place[j])
             ok = (rest >= need[ok]) & (cls[i] != cls[j])
             left.append(i[ok])
             right.append(j[ok])
