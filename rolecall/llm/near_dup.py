@@ -27,7 +27,9 @@ class Settings(NamedTuple):
     """``bands`` keys of ``rows`` hashes each; a pair of similarity s shares a key with probability 1 - (1 - s^rows)^bands.
 
     At 0.85 that misses 3 in 10 million pairs, at 0.8 (rows 4) 8 in 10 million. Posterior tests
-    prune a pair whose chance of reaching the similarity falls below ``miss``.
+    prune a pair whose chance of reaching the similarity falls below ``miss``. ``relays`` and
+    ``buckets``: so many members of a band's largest component, of so many, are tried for each
+    member outside it before all pairs are.
     """
 
     words: int = 3
@@ -37,6 +39,8 @@ class Settings(NamedTuple):
     batch: int = 16
     miss: float = 1e-6
     block: int = 256
+    relays: int = 3
+    buckets: int = 16
 
 
 @functools.cache
@@ -196,9 +200,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     than a shingle is one shingle; null and empty texts have none and link with
     nothing. Documents of equal sets form a class and are linked; classes stand for
     their members from there on. Classes that share a MinHash band are candidates:
-    first each with its band's hub only, then, where a band still spans several
-    components, all members across components, block against block in one task at a
-    time. Batches of hashes prune candidates by their posterior chance; survivors
+    first each with its band's hub only; then, where a band still spans several
+    components, the members outside the largest with a few of its members each; then
+    all members across the components that are left, block against block in one task
+    at a time. Batches of hashes prune candidates by their posterior chance; survivors
     are verified on their full sets. component_id is the smallest doc_id reachable.
     Repeated rows of one doc_id must carry one text; they are returned each. An
     empty table gives no rows; other columns are not read.
@@ -216,9 +221,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     bands = stage_table(join_hot(bands, stage_table(hubs), "band"))
     spokes = bands.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     links = _confirmed(spokes, docs, nodes, settings, pruned=False)
-    parts = stage_table(connected_components(links, "a", "b"))
-    members = stage_table(bands.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")))
-    rest = _across(members, nodes, n, settings)
+    links = links.unionByName(_confirmed(_relayed(_members(bands, links), settings), docs, nodes, settings, pruned=False))
+    rest = _across(_members(bands, links), nodes, n, settings)
     more = _confirmed(rest, docs, nodes, settings, pruned=True)
     parts = stage_table(connected_components(links.unionByName(more), "a", "b"))
     final = stage_table(
@@ -228,19 +232,43 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     return join_hot(seen.where("class is not null").select("doc_id", "n_shingles", "class"), final, "class").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
+def _members(bands: DataFrame, links: DataFrame) -> DataFrame:
+    """``band, node, component`` by the links so far."""
+    parts = stage_table(connected_components(links, "a", "b"))
+    return stage_table(bands.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")))
+
+
+def _spans(members: DataFrame) -> DataFrame:
+    """Bands of several components, with the largest (``top``), its size and all members' number."""
+    sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
+    return (
+        sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n_rows"), F.count("*").alias("parts"))
+        .where("parts > 1").select("band", F.col("top.component").alias("top"), F.col("top.n").alias("n_top"), "n_rows")
+    )
+
+
+def _relayed(members: DataFrame, settings: Settings) -> DataFrame:
+    """Each member outside its band's largest component with ``relays`` members of it, others for each.
+
+    One hub that lies at a group's edge leaves many of the group unlinked; of several random members one is near.
+    """
+    open_ = stage_table(join_hot(members, stage_table(_spans(members)), "band"))
+    buckets = F.expr(f"greatest(1, least({settings.buckets}, n_top div 8))")
+    spread = F.xxhash64("node", "band")
+    near = open_.where("component = top").groupBy("band", F.pmod(F.xxhash64("node"), buckets).alias("bucket")).agg(F.min(F.struct(spread.alias("h"), "node")).alias("hub"))
+    tries = F.explode(F.array_distinct(F.array(*(F.pmod(F.xxhash64("node", "band", F.lit(k)), buckets) for k in range(settings.relays)))))
+    odd = open_.where("component <> top").select("band", "node", tries.alias("bucket"))
+    return odd.join(near, ["band", "bucket"]).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+
+
 def _across(members: DataFrame, nodes: DataFrame, n: int, settings: Settings) -> DataFrame:
     """Possible pairs across components, from the bands that span several.
 
     In each such band the members outside its largest component meet all members:
     blocks of them by blocks of all, each pair of blocks one row.
     """
-    sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
-    spans = (
-        sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n_rows"), F.count("*").alias("parts"))
-        .where("parts > 1").select("band", F.col("top.component").alias("top"), "n_rows")
-        .withColumn("n_blocks", F.ceil(F.col("n_rows") / settings.block).cast("int"))
-    )
-    open_ = join_hot(members, stage_table(spans.withColumnRenamed("n_rows", "n").withColumn("n_rows", F.col("n")).drop("n")), "band")
+    spans = _spans(members).withColumn("n_blocks", F.ceil(F.col("n_rows") / settings.block).cast("int"))
+    open_ = join_hot(members, stage_table(spans), "band")
     signed = open_.join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node", "band"), "n_blocks"))
     row = F.struct("node", "component", "signature")
     all_ = stage_table(signed.groupBy("band", "block").agg(F.collect_list(row).alias("right")))
