@@ -39,7 +39,11 @@ class _Items:
             self.by_length[size] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
 
     def keep_rarest(self, counts: dict[int, int], share: float, least: int) -> None:
-        """Keeps each item's rarest seeds by their counts in the documents: a share of them, ``least`` at least."""
+        """Keeps each item's rarest seeds by their counts in the documents: a share of them, ``least`` at least, and all about as rare.
+
+        Where copies of an item are the only documents that hold its seeds, those that no
+        edit broke are the more frequent ones; they stay, since only far more frequent ones go.
+        """
         own: dict[int, list] = defaultdict(list)
         for size, (hashes, items, places) in self.by_length.items():
             for g, i, k in zip(hashes.tolist(), items.tolist(), places.tolist(), strict=True):
@@ -47,7 +51,8 @@ class _Items:
         grams: dict[int, list] = defaultdict(list)
         for i, rows in own.items():
             rows.sort()
-            for _, k, g, size in rows[: max(least, round(share * len(rows)))]:
+            limit = 16 + 4 * rows[min(len(rows), max(least, round(share * len(rows)))) - 1][0]
+            for _, k, g, size in (r for r in rows if r[0] <= limit):
                 grams[size].append((g, i, k))
         self._set(grams)
 
@@ -151,7 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float
 
     Words are split at ASCII white space and punctuation, A-Z lower-cased. An
     item's seeds are its word n-grams, of which those rarest in all documents are
-    kept: the share ``rarest``, ``least_seeds`` at least. Where a seed occurs, the
+    kept: the share ``rarest``, ``least_seeds`` at least, and those about as rare. Where a seed occurs, the
     item is aligned with the words around (match 2, mismatch and gap -1); score is
     the alignment's over a perfect one's, start and end its place in the text in
     code points. Items shorter than n words are one seed; items without words match
