@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -31,31 +31,10 @@ class _Items:
             if len(w):
                 size = min(n, len(w))
                 grams[size] += [(g, i, k) for k, g in enumerate(shingles(w, size).tolist())]
-        self._set(grams)
-
-    def _set(self, grams: dict[int, list]) -> None:
         for size, rows in grams.items():
             rows.sort()
             self.by_length[size] = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
 
-    def keep_rarest(self, counts: dict[int, int], share: float, least: int) -> None:
-        """Keeps each item's rarest seeds by their counts in the documents: a share of them, ``least`` at least, and all about as rare.
-
-        Where copies of an item are the only documents that hold its seeds, those that no
-        edit broke are the more frequent ones; they stay, since only far more frequent ones go.
-        """
-        own: dict[int, list] = defaultdict(list)
-        for size, (hashes, items, places) in self.by_length.items():
-            for g, i, k in zip(hashes.tolist(), items.tolist(), places.tolist(), strict=True):
-                own[i].append((counts.get(g, 0), k, g, size))
-        grams: dict[int, list] = defaultdict(list)
-        for i, rows in own.items():
-            rows.sort()
-            limit = 16 + 4 * rows[min(len(rows), max(least, round(share * len(rows)))) - 1][0]
-            for _, k, g, size in (r for r in rows if r[0] <= limit):
-                grams[size].append((g, i, k))
-        self._set(grams)
-
 
 def align(doc: np.ndarray, item: np.ndarray, match: int = 2, other: int = -1, gap: int = -1) -> tuple[int, int, int]:
     """Best local alignment of two word sequences: score, first and end word in ``doc``."""
@@ -94,23 +73,6 @@ def _hits(hashes: np.ndarray, items: _Items) -> Iterator[tuple[int, int, int, in
                 k += 1
 
 
-def _count(items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = items.value
-        for batch in batches:
-            counts: dict[int, int] = defaultdict(int)
-            texts = utf8(batch.column(0))
-            for a, b in chunks(texts):
-                hashes, _, _, at = word_hashes(texts[a:b], PUNCTUATION)
-                for i in range(b - a):
-                    for g in {h[0] for h in _hits(hashes[at[i] : at[i + 1]], known)}:
-                        counts[g] += 1
-            if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(counts), np.uint64).view(np.int64)), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
-
-    return run
-
-
 def _find(items, least: float, slack: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = items.value
@@ -128,6 +90,9 @@ def _find(items, least: float, slack: int):
                         size, best = len(known.words[item]), (0.0, 0, 0)
                         for low, high in _regions(sorted(offsets), size + slack):
                             low, high = max(0, low - slack), min(len(words), high + size + slack)
+                            # No alignment matches more than the item's words that stand here at all.
+                            if np.isin(known.words[item], words[low:high]).sum() / size < least:
+                                continue
                             score, x, y = align(words[low:high], known.words[item])
                             best = max(best, (score / (2 * size), low + x, low + y))
                         if best[0] >= least:
@@ -151,15 +116,15 @@ def _regions(offsets: list[int], near: int) -> Iterator[tuple[int, int]]:
     yield low, high
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.6, rarest: float = 0.5, least_seeds: int = 8, slack: int = 8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float = 0.6, slack: int = 8) -> DataFrame:
     """Each document and test item whose best alignment reaches ``least``.
 
     Words are split at ASCII white space and punctuation, A-Z lower-cased. An
-    item's seeds are its word n-grams, of which those rarest in all documents are
-    kept: the share ``rarest``, ``least_seeds`` at least, and those about as rare. Where a seed occurs, the
-    item is aligned with the words around (match 2, mismatch and gap -1); score is
-    the alignment's over a perfect one's, start and end its place in the text in
-    code points. Items shorter than n words are one seed; items without words match
+    item's seeds are all its word n-grams: leaving out frequent ones would lose the
+    copies that hold no others. Where a seed occurs, the item is aligned with the
+    words around (match 2, mismatch and gap -1), unless too few of its words stand
+    there to reach ``least``; score is the alignment's over a perfect one's, start
+    and end its place in the text in code points. Items shorter than n words are one seed; items without words match
     nothing; null and empty texts have no words. Repeated rows are judged each; an
     empty table gives no rows. Items are broadcast in slices of ``SLICE_BYTES``:
     a larger benchmark means more passes, not a larger broadcast.
@@ -171,11 +136,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, least: float
     found = None
     for k in range(slices):
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).distinct().collect()]
-        known = _Items(sorted(rows), n)
-        sent = spark.sparkContext.broadcast(known)
-        counts = docs.select("text").mapInArrow(_count(sent), "gram long, n long").groupBy("gram").agg(F.sum("n")).collect()
-        known.keep_rarest({g & (1 << 64) - 1: c for g, c in counts}, rarest, least_seeds)
-        part = docs.select("doc_id", "text").mapInArrow(_find(spark.sparkContext.broadcast(known), least, slack), _FOUND)
+        known = spark.sparkContext.broadcast(_Items(sorted(rows), n))
+        part = docs.select("doc_id", "text").mapInArrow(_find(known, least, slack), _FOUND)
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -145,6 +145,15 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(table(spark, given), bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("exact", [0, 1, 10])
+def test_decontamination_of_many_edited_copies(spark, exact):
+    item = [f"w{k}" for k in range(30)]
+    edited = [w if k % 9 else "other" for k, w in enumerate(item)]
+    given = [(i, " ".join(item if i < exact else edited)) for i in range(exact + 1000)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.contaminated(table(spark, given), bench).collect()} == set(range(exact + 1000))
+
+
 def _accuracy(spark, op, label):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", label)
     scored = op(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").select("score", label).collect()
