@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,14 +74,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the places that any span covers, in order."""
+    starts, ends = [], []
+    for _, a, b in sorted(spans, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def _around(text: str, spans: list[tuple[str, int, int]], window: int) -> Iterator[tuple[str, str, int, int]]:
     """Entity, term, start and end of the terms within ``window`` terms of each span."""
+    starts, ends = _merged(spans)
     for kind, start, end in spans:
         entity = hashlib.md5(f"{kind}:{text[start:end].lower()}".encode(), usedforsecurity=False).hexdigest()
         reach = 40 * window
         near = [*_TERM.finditer(text, max(0, start - reach), start)][-window:], [*_TERM.finditer(text, end, min(len(text), end + reach))][:window]
         for m in (*near[0], *near[1]):
-            if not any(a < m.end() and m.start() < b for _, a, b in spans[:50]):
+            k = bisect_left(starts, m.end())
+            if not k or ends[k - 1] <= m.start():
                 yield entity, m.group().lower(), *m.span()
 
 

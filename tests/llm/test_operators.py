@@ -145,6 +145,14 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(table(spark, given), bench.where("false")).count() == 0
 
 
+def test_privacy_terms_lie_outside_all_spans():
+    text = " ".join(f"someone{i}@corp.example" for i in range(120)) + " call +49 (30) 123-4567 or 10.0.0.1 Zorblatt"
+    spans = privacy.base_spans(text)
+    near = {(term, a, b) for _, term, a, b in privacy._around(text, spans, 10)}
+    assert len(spans) == 122 and {"call", "zorblatt"} == {term for term, _, _ in near}
+    assert not any(a < y and x < b for _, x, y in near for _, a, b in spans)
+
+
 @pytest.mark.parametrize("exact", [0, 1, 10])
 def test_decontamination_of_many_edited_copies(spark, exact):
     item = [f"w{k}" for k in range(30)]
