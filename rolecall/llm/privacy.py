@@ -5,20 +5,19 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm.words import PUNCTUATION, chunks, utf8, word_hashes
 from rolecall.operators.joins import join_hot
 from rolecall.staging import stage_table
 
 KINDS = ("email", "ip", "card", "phone")
-#: So many candidate terms at most are broadcast (8 bytes each); beyond, their counts are joined by a shuffle.
-MOST_BROADCAST = 1 << 20
+#: So many candidate terms at most are broadcast (about 80 bytes each in a worker); beyond, their counts are joined by a shuffle.
+MOST_BROADCAST = 1 << 18
 
 # Each matches as the pattern in the docstring of base_spans does, in time linear in the text.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++")
@@ -88,12 +87,13 @@ def _merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
 
 def _around(text: str, spans: list[tuple[str, int, int]], window: int) -> Iterator[tuple[str, str, int, int]]:
     """Entity, term, start and end of the terms within ``window`` terms of each span."""
+    terms = [*_TERM.finditer(text)]
+    begins = [m.start() for m in terms]
     starts, ends = _merged(spans)
     for kind, start, end in spans:
         entity = hashlib.md5(f"{kind}:{text[start:end].lower()}".encode(), usedforsecurity=False).hexdigest()
-        reach = 40 * window
-        near = [*_TERM.finditer(text, max(0, start - reach), start)][-window:], [*_TERM.finditer(text, end, min(len(text), end + reach))][:window]
-        for m in (*near[0], *near[1]):
+        before, after = bisect_left(begins, start), bisect_left(begins, end)
+        for m in (*terms[max(0, before - window) : before], *terms[after : after + window]):
             k = bisect_left(starts, m.end())
             if not k or ends[k - 1] <= m.start():
                 yield entity, m.group().lower(), *m.span()
@@ -119,42 +119,21 @@ def _scan(window: int):
     return run
 
 
-def term_hash(term: str) -> int:
-    """The hash by which a term is counted in the documents."""
-    hashes = word_hashes([term.encode()], PUNCTUATION)[0]
-    return int(hashes[:1].view(np.int64)[0]) if len(hashes) else 0
-
-
 def _term_counts(keep):
-    """Documents by word hash, of the words in ``keep`` or of all."""
+    """Documents by term, of the terms in ``keep`` or of all; terms are found and lower-cased as in ``_around``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if keep is None else keep.value
         for batch in batches:
-            texts, found = utf8(batch.column(0)), []
-            for a, b in chunks(texts):
-                hashes, _, _, at = word_hashes(texts[a:b], PUNCTUATION)
-                hashes = hashes.view(np.int64)
-                if wanted is not None:
-                    low = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                    inside = wanted[low] == hashes
-                else:
-                    inside = np.ones(len(hashes), bool)
-                doc = np.repeat(np.arange(b - a), np.diff(at))[inside]
-                pairs = np.unique(np.stack([hashes[inside], doc]), axis=1)[0] if inside.any() else hashes[:0]
-                found.append(pairs)
-            words, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(n, pa.int64())], names=["word", "n"])
+            counts: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist() if wanted is None or wanted else []:
+                found = {t.lower() for t in set(_TERM.findall(text or ""))}
+                counts.update(found if wanted is None else found & wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
     return run
 
 
-def _hash_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        terms = batch.column(0).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([term_hash(t) for t in terms], pa.int64())], names=["term", "word"])
-
-
 def protect(docs: DataFrame, window: int = 10, least_documents: int = 2, threshold: float = 0.8) -> DataFrame:
     """Every document's spans of personal data, by pattern and by disclosure.
 
@@ -181,19 +160,15 @@ def protect(docs: DataFrame, window: int = 10, least_documents: int = 2, thresho
         .agg(F.count_distinct("digest").alias("texts"), F.count_distinct("row").alias("n_rows"))
         .where(F.col("texts") >= least_documents)
     )
-    terms = stage_table(pairs.select("term").distinct().mapInArrow(_hash_terms, "term string, word long"))
-    n_terms = terms.count()
-    if n_terms <= MOST_BROADCAST:
-        wanted = np.array(sorted({r[0] for r in terms.select("word").collect()}) or [0], np.int64)
-        counts = docs.select("text").mapInArrow(_term_counts(spark.sparkContext.broadcast(wanted)), "word long, n long")
-    else:
-        counts = docs.select("text").mapInArrow(_term_counts(None), "word long, n long")
-    counts = counts.groupBy("word").agg(F.sum("n").alias("n_term"))
+    terms = stage_table(pairs.select("term").distinct())
+    few = terms.count() <= MOST_BROADCAST
+    wanted = spark.sparkContext.broadcast({r[0] for r in terms.collect()}) if few else None
+    counts = docs.select("text").mapInArrow(_term_counts(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = seen.count()
     share = F.log(F.col("n_rows") * F.lit(float(max(total, 1))) / (F.greatest("n_term", "n_rows") * F.col("n_entity"))) / F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
     telling = stage_table(
-        pairs.join(terms, "term").join(counts, "word").join(entities, "entity").withColumn("share", share)
+        pairs.join(counts, "term").join(entities, "entity").withColumn("share", share)
         .where(F.col("share") >= threshold)
         .select("pair", F.when(F.col("n_term") <= F.col("n_rows"), "remove").otherwise("term").alias("kind"), "n_rows")
     )

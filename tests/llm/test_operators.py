@@ -153,6 +153,13 @@ def test_privacy_terms_lie_outside_all_spans():
     assert not any(a < y and x < b for _, x, y in near for _, a, b in spans)
 
 
+def test_privacy_counts_terms_beyond_ascii(spark):
+    many = [(i, f"case {i} \u201c\u00dcberling\u201d wrote me@corp.example, \u00d1and\u00fa{i} too") for i in range(4)]
+    many += [(9 + i, "plain text" + (" \u00d1and\u00fa" if i == 0 else "")) for i in range(40)]
+    kinds = {i: {many[i][1][s["start"] : s["end"]]: s["kind"] for s in added} for i, added in privacy.protect(table(spark, many)).where("doc_id < 4").select("doc_id", "added").collect()}
+    assert all(k["\u00dcberling"] == "remove" and k["\u00d1and\u00fa"] == "term" for k in kinds.values()) and len(kinds) == 4
+
+
 @pytest.mark.parametrize("exact", [0, 1, 10])
 def test_decontamination_of_many_edited_copies(spark, exact):
     item = [f"w{k}" for k in range(30)]
