@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -66,33 +67,64 @@ def common(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
     return low
 
 
-def fingerprint(text: Prefixes) -> str:
-    """Length, hash of the whole, and the prefix hashes at the multiples of a power of two, 32 at most."""
+def _step(n: int) -> int:
     step = 1
-    while text.n // step > GRID:
+    while n // step > GRID:
         step *= 2
-    marks = "".join(f"{text.prefix(i) & 0xFFFFFFFF:08x}" for i in range(step, text.n + 1, step))
-    return f"{text.n:x}:{text.prefix(text.n):016x}:{marks}"
+    return step
+
+
+def fingerprint(text: Prefixes) -> str:
+    """Length, hash of the whole, the prefix hashes at the multiples of a power of two, 32 at most, and as many hashes of the suffixes.
+
+    Marks are written in base 64, four bytes each. A suffix's hash is that of the same text on its own, so it doesn't depend on where the suffix begins.
+    """
+    step, p = _step(text.n), np.uint64(PRIMES[1])
+    places, sums = np.arange(step, text.n + 1, step), text.sums[1]
+    shift = _power(1, text.n + 1)[places] * np.uint64(pow(BASES[1], -text.n, PRIMES[1])) % p
+    tails = (sums[text.n] + p - sums[text.n - places]) % p * shift % p
+    return f"{text.n:x}:{text.prefix(text.n):016x}:{_written(sums[places])}:{_written(tails)}"
+
+
+def _written(marks: np.ndarray) -> str:
+    return base64.b64encode(marks.astype(">u4").tobytes()).decode()
+
+
+def _numbers(marks: str, every: int) -> list[int]:
+    return np.frombuffer(base64.b64decode(marks), ">u4")[every - 1 :: every].tolist()
 
 
 def likeness(a: str, b: str) -> float:
-    """Shared prefix of two fingerprinted texts over the longer length, to the finer marks both have; 1 only if equal."""
-    (n, whole_a, marks_a), (m, whole_b, marks_b) = a.split(":"), b.split(":")
+    """Share of the longer of two fingerprinted texts that lies in equal spans; 1 only if equal.
+
+    Spans are those between the coarser marks of the two. They are compared at the
+    same place from the start, by the differences of neighbouring prefix hashes, and at
+    the same place from the end, so an edit costs the spans it touches and what moved
+    against both ends.
+    """
+    (n, whole_a, marks_a, tails_a), (m, whole_b, marks_b, tails_b) = a.split(":"), b.split(":")
     if (n, whole_a) == (m, whole_b):
         return 1.0
-    (n, m), found = (int(n, 16), int(m, 16)), []
-    for length, marks in ((n, marks_a), (m, marks_b)):
-        step = 1
-        while length // step > GRID:
-            step *= 2
-        found.append((step, [marks[i : i + 8] for i in range(0, len(marks), 8)]))
-    step = max(found[0][0], found[1][0])
-    x, y = (marks[step // own - 1 :: step // own] for own, marks in found)
-    low, high = 0, min(len(x), len(y))
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if x[middle - 1] == y[middle - 1] else (low, middle - 1)
-    return low * step / max(n, m)
+    n, m = int(n, 16), int(m, 16)
+    step, p = max(_step(n), _step(m)), PRIMES[1]
+    own = step // _step(n), step // _step(m)
+    ahead = [[0, *_numbers(x, k)] for x, k in zip((marks_a, marks_b), own, strict=True)]
+    back = [[0, *_numbers(x, k)] for x, k in zip((tails_a, tails_b), own, strict=True)]
+    count = range(1, min(n, m) // step + 1)
+    first = [k for k in count if (ahead[0][k] - ahead[0][k - 1] - ahead[1][k] + ahead[1][k - 1]) % p == 0]
+    # One step more from the end puts the next span before the ones so far.
+    after = pow(BASES[1], step, p)
+    last = [k for k in count if (back[0][k] - back[0][k - 1] * after - back[1][k] + back[1][k - 1] * after) % p == 0]
+    return min(_covered(size, step, first, last) for size in (n, m)) / max(n, m)
+
+
+def _covered(n: int, step: int, first: list[int], last: list[int]) -> int:
+    """Code points of a text of ``n`` in the spans numbered from its start or from its end."""
+    done = found = 0
+    for start in sorted([(k - 1) * step for k in first] + [n - k * step for k in last]):
+        found += max(0, start + step - max(start, done))
+        done = max(done, start + step)
+    return found
 
 
 def _judge(doc_id: int, text: str, following: str) -> tuple:

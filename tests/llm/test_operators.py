@@ -124,6 +124,19 @@ def test_fingerprints(docs):
     assert all(len(s) == 1 for s in same.values()) and len({f for s in same.values() for f in s}) == len(same)
 
 
+def test_likeness_is_the_share_of_equal_spans():
+    rng = random.Random(5)
+    long, other = ("".join(rng.choice("abcdefgh é") for _ in range(120000)) for _ in range(2))
+    like = lambda x, y: fingerprint.likeness(*(fingerprint.fingerprint(fingerprint.Prefixes(t)) for t in (x, y)))
+    assert like(long, long) == 1 and like(long, other) == 0 and like("", long) == 0
+    assert 0.9 < like(long, "Z" + long[1:]) < 1
+    assert 0.9 < like(long, "Z" + long) < 1 and 0.9 < like(long[1:], long) < 1
+    assert 0.9 < like(long, long[:60000] + "ZZZ" + long[60000:]) < 1
+    assert 0.4 < like(long, long[:60000]) <= 0.5 and 0.4 < like(long, long[60000:]) <= 0.5
+    for x, y in ((long[:n], long[: n - k] + "Z" * j) for n in (1, 2, 33, 64, 65, 1000) for k in (0, 1) for j in (0, 1, 40)):
+        assert (like(x, y) == 1) == (x == y) and 0 <= like(x, y) <= 1 and like(x, y) == like(y, x)
+
+
 def test_privacy_spans(spark):
     text = "Mail a.b@x-y.org, 10.0.0.1 or 999.1.1.1; card 4111 1111 1111 1111, call +49 (30) 123-4567."
     assert [(k, text[a:b]) for k, a, b in privacy.base_spans(text)] == [("email", "a.b@x-y.org"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+49 (30) 123-4567")]
