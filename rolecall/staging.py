@@ -7,6 +7,7 @@ reading it again, so a lost executor costs one stage and never the whole job.
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -14,8 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is named, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder all executors share. On a cluster it must be named; a local session, as in tests, gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or _own_dir()).rstrip("/")
 
 
 @functools.cache
@@ -23,9 +27,17 @@ def _own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="rolecall-")
 
 
-def stage_table(df: DataFrame) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back."""
+def stage_table(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder, in a folder for each value of ``by``, and reads it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rolecall/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Deletes a staged table that nothing will read again."""
+    context = df.sparkSession.sparkContext
+    for folder in {m[0] for f in df.inputFiles() if (m := re.match(".*/rolecall/[0-9a-f]{32}", f))}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
