@@ -68,7 +68,7 @@ _ARRAY_SQL = f"""WITH {_BOARD_SQL}, items AS (
   FROM orders JOIN boards ON o_custkey = c AND status = 'ok'
 ), read AS (SELECT *, {_COUNTRY_SQL} AS region, lower(coalesce(place, '')) AS blob FROM items)
 SELECT 'b' || c || ':' || k AS source_job_id, 'lever:b' || c AS scope, {_sql_pick(TITLES, 'k')} AS title, nullif(place, '') AS location_raw,
-  array_to_string(list_filter(['Core', lower(kind), 'hybrid'], lambda x: x IS NOT NULL), ',') AS tags, CAST(epoch_ms(k * 1000000007) AS TIMESTAMP) AS posted_at,
+  array_to_string(list_filter(['Core', lower(kind), 'hybrid'], lambda x: x IS NOT NULL), ',') AS tags, CASE WHEN k <> 0 THEN CAST(epoch_ms(k * 1000000007) AS TIMESTAMP) END AS posted_at,
   coalesce(nullif(array_to_string(list_filter([CASE WHEN regexp_matches(blob, '{landed.BORDERLESS}') THEN 'worldwide' END, region, CASE WHEN contains(blob, 'india') AND coalesce(region <> 'india', true) THEN 'india' END], lambda x: x IS NOT NULL), ','), ''), 'unknown') AS regions,
   CASE lower(kind) WHEN 'full-time' THEN 'full_time' WHEN 'internship' THEN 'internship' WHEN 'contract' THEN 'contract' ELSE 'unknown' END AS employment_type_hint
 FROM read"""
