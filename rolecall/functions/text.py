@@ -176,10 +176,10 @@ def age_days(posted_at: Column, first_seen_at: Column, as_of: Column) -> Column:
 
 
 def parse_relative_posted(text: Column, as_of: Column) -> Column:
-    """today, yesterday or n days ago; a plus sign ("30+ days") tells nothing."""
-    t = F.lower(text)
-    days = F.regexp_extract(t, r"(\d+)\s*days?\s*ago", 1).try_cast("int")
-    back = F.when(t.contains("+"), None).when(t.contains("today"), 0).when(t.contains("yesterday"), 1).otherwise(days)
+    """posted today, yesterday or n days ago; a plus sign ("30+ days") tells nothing."""
+    t = F.lower(F.trim(text))
+    days = F.regexp_extract(t, r"posted\s+(\d+)\s+days?\s+ago", 1).try_cast("int")
+    back = F.when(t.contains("today"), 0).when(t.contains("yesterday"), 1).when(~t.contains("+"), days)
     return F.when(back.isNotNull(), as_of - F.make_dt_interval(back))
 
 
