@@ -144,6 +144,14 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def display_company(name: Column) -> Column:
+    """A readable name for one that is all in lower case and without spaces, such as ``merkle-science``; others stay."""
+    n = F.trim(F.coalesce(name, F.lit("")))
+    runs = F.split(F.translate(n, "-_", "  "), r"(?<=\P{L})|(?=\P{L})")
+    titled = F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))), "")
+    return F.when((n == F.lower(n)) & ~n.contains(" ") & (n != ""), titled).otherwise(n)
+
+
 def normalize_company(name: Column) -> Column:
     """The name without parentheses and filler words, letters and digits only: what dedupe and exclusions compare."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(name), r"\([^)]*\)", " "), v.COMPANY_NOISE, "")

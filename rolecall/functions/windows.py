@@ -13,39 +13,48 @@ from rolecall import vocabulary as v
 _ADVANCED, _BACHELOR, _NEAR = (re.compile(p) for p in (v.ADVANCED_DEGREE, v.BACHELOR_OK, v.PAY_NEAR))
 _PAY = tuple((kind, re.compile(p)) for kind, p in (("month", v.PAY_MONTHLY), ("lpa", v.PAY_LPA), ("year", v.PAY_ANNUAL)))
 
-_PAID = T.StructType().add("pay_min", "long").add("pay_max", "long").add("currency", "string").add("period", "string")
+_PAID = T.StructType().add("pay_min", "long").add("pay_max", "long").add("currency", "string").add("period", "string").add("label", "string")
+
+
+# Characters looked at before and after a match, and the bounds of a plausible pay.
+DEGREE_WINDOW = 160
+PAY_BEFORE, PAY_AFTER = 120, 40
+LEAST_PAY, LEAST_LAKHS, MOST_LAKHS, LAKH = 1000, 1, 200, 100_000
 
 
 def advanced_degree(title: str | None, description: str | None) -> bool:
-    """An advanced degree in the title, or in the text with no bachelor's within 160 characters."""
+    """An advanced degree in the title, or in the text with no bachelor's near."""
     if _ADVANCED.search(title or ""):
         return True
     text = description or ""
-    return any(not _BACHELOR.search(text, max(0, m.start() - 160), m.end() + 160) for m in _ADVANCED.finditer(text))
+    return any(not _BACHELOR.search(text[max(0, m.start() - DEGREE_WINDOW) : m.end() + DEGREE_WINDOW]) for m in _ADVANCED.finditer(text))
 
 
-def _amount(text: str | None) -> float | None:
+def _amount(text: str | None) -> int | None:
+    """The whole number in front; fractions are cut off."""
     try:
-        return float((text or "").replace(",", "").rstrip("."))
+        return int(float((text or "").replace(",", "").rstrip(".")))
     except ValueError:
         return None
 
 
 def pay(text: str | None) -> dict | None:
-    """The first plausible pay near a pay word: monthly, then lakhs a year, then yearly."""
+    """The first plausible pay near a pay word: monthly, then lakhs a year, then yearly; with the label that a card shows."""
     text = text or ""
     for kind, pattern in _PAY:
         for m in pattern.finditer(text):
-            if not _NEAR.search(text[max(0, m.start() - 120) : m.end() + 40]):
+            if not _NEAR.search(text[max(0, m.start() - PAY_BEFORE) : m.end() + PAY_AFTER]):
                 continue
             low, high = _amount(m.group(1)), _amount(m.group(2))
-            if low is None or (not 1 <= low <= 200 if kind == "lpa" else low < 1000):
+            lakhs = kind == "lpa"
+            if low is None or (not LEAST_LAKHS <= low <= MOST_LAKHS if lakhs else low < LEAST_PAY):
                 continue
-            times = 100_000 if kind == "lpa" else 1
-            dollars = kind != "lpa" and re.search(r"(?i)usd|\$", m.group())
+            dollars = not lakhs and re.search(r"(?i)usd|\$", m.group())
+            shown = ("$" if dollars else "₹") + m.group(1) + (f"-{m.group(2)}" if m.group(2) else "")
+            times = LAKH if lakhs else 1
             return {
-                "pay_min": int(low * times), "pay_max": int(high * times) if high and high >= low else None,
-                "currency": "USD" if dollars else "INR", "period": "month" if kind == "month" else "year",
+                "pay_min": low * times, "pay_max": high * times if high is not None and (high or not lakhs) else None, "currency": "USD" if dollars else "INR",
+                "period": "month" if kind == "month" else "year", "label": shown + (" LPA" if lakhs else "/month" if kind == "month" else "/year"),
             }
     return None
 
@@ -57,5 +66,5 @@ def needs_advanced_degree(title: pd.Series, description: pd.Series) -> pd.Series
 
 @F.pandas_udf(_PAID)
 def extract_pay(text: pd.Series) -> pd.DataFrame:
-    rows = [pay(t) or dict.fromkeys(("pay_min", "pay_max", "currency", "period")) for t in text]
-    return pd.DataFrame(rows, columns=["pay_min", "pay_max", "currency", "period"]).astype({"pay_min": "Int64", "pay_max": "Int64"})
+    rows = [pay(t) or dict.fromkeys(_PAID.names) for t in text]
+    return pd.DataFrame(rows, columns=_PAID.names).astype({"pay_min": "Int64", "pay_max": "Int64"})

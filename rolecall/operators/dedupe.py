@@ -9,7 +9,7 @@ from rolecall import vocabulary as v
 from rolecall.operators.joins import join_hot
 from rolecall.staging import stage_table
 
-_BORROWED = ("description", "tech_stack", "posted_at", "deadline", "grad_year")
+_BORROWED = ("description", "tech_stack", "posted_at", "deadline", "grad_year", "pay", "team_size", "yc_batch", "vc")
 
 
 def priority(source: Column) -> Column:
@@ -57,10 +57,13 @@ def _with_least(rows: DataFrame, among: DataFrame, group: str, name: str) -> Dat
     return join_hot(rows.withColumn("rank", F.col("rank").cast(named)), stage_table(least.join(sizes, group)), group, "left")
 
 
-def survivors(marked: DataFrame) -> DataFrame:
-    """Kept jobs with a URL; what they lack they borrow from their duplicates, the best ranked first."""
-    rank = F.struct(priority(F.col("source")), -F.length(F.coalesce("description", F.lit(""))), F.col("ordinal"))
-    filled = {c: F.when(F.size(c) > 0, F.col(c)) if c == "tech_stack" else F.col(c) for c in _BORROWED}
-    lent = marked.where("not kept").groupBy("incumbent").agg(*(F.min_by(F.when(x.isNotNull(), x), F.when(x.isNotNull(), rank)).alias(f"lent_{c}") for c, x in filled.items()))
+def survivors(marked: DataFrame, score: Column | None = None) -> DataFrame:
+    """Kept jobs with a URL; what they lack they borrow from their duplicates, the best ranked first. ``score`` as for ``dedupe``."""
+    rank = F.struct(priority(F.col("source")), -(score if score is not None else F.lit(0.0)), -F.length(F.coalesce("description", F.lit(""))), F.col("ordinal"))
+    filled = {c: F.when(F.size(c) > 0, F.col(c)) if c == "tech_stack" else F.nullif(F.col(c), F.lit("")) if c == "description" else F.col(c) for c in _BORROWED if c in marked.columns}
+    lent = marked.where("not kept").groupBy("incumbent").agg(
+        F.max("is_new_grad").alias("lent_is_new_grad"), *(F.min_by(F.when(x.isNotNull(), x), F.when(x.isNotNull(), rank)).alias(f"lent_{c}") for c, x in filled.items())
+    )
     found = marked.where("kept and canonical_url <> ''").drop("incumbent").join(lent, F.col("ordinal") == F.col("incumbent"), "left")
-    return found.withColumns({c: F.coalesce(x, F.col(f"lent_{c}"), F.col(c)) for c, x in filled.items()}).drop("incumbent", "kept", *(f"lent_{c}" for c in _BORROWED))
+    own = {c: F.coalesce(x, F.col(f"lent_{c}"), F.col(c)) for c, x in filled.items()} | {"is_new_grad": F.col("is_new_grad") | F.coalesce("lent_is_new_grad", F.lit(False))}
+    return found.withColumns(own).drop("incumbent", "kept", *(f"lent_{c}" for c in own))

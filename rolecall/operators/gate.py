@@ -14,8 +14,8 @@ def reachable(regions: Column, work_auth: Column, sponsors: Column) -> Column:
     return F.when(fenced, F.array_contains(regions, "india")).otherwise(F.arrays_overlap(regions, F.array(*map(F.lit, ("worldwide", "india", "apac")))))
 
 
-def drop_reason(as_of: str) -> Column:
-    """Null for postings to keep. Needs the columns of ``normalize`` and ``advanced_degree``."""
+def drop_reason(as_of: str, unknown_yoe: bool = True, unknown_region: bool = True) -> Column:
+    """Null for postings to keep. Needs the columns of ``normalize`` and ``advanced_degree``. The flags tell if postings that don't state their years or region may stay."""
     c, now = F.col, F.lit(as_of).cast("timestamp_ntz")
     regions = c("hiring_regions")
     label = F.array_join(F.array_sort(regions), "/")
@@ -44,10 +44,12 @@ def drop_reason(as_of: str) -> Column:
         F.when(age > cap, F.concat(F.lit("posted "), age.cast("string"), F.lit("d ago"))),
         excluded,
         F.when(~c("employment_type").isin(*v.EMPLOYMENT_ALLOWED), F.concat(F.lit("employment type "), c("employment_type"))),
+        F.lit(None) if unknown_yoe else F.when(c("min_yoe").isNull(), "yoe unknown"),
         F.when(c("min_yoe") > v.MAX_MIN_YOE, F.concat(F.lit("requires "), c("min_yoe").cast("string"), F.lit("+ yoe"))),
         F.when(blocked & ~sponsors, F.concat(F.lit("region not reachable ("), regions[0], F.lit(")"))),
         F.when(c("requires_work_auth").eqNullSafe(F.lit(True)) & ~sponsors & ~reachable(regions, c("requires_work_auth"), c("visa_sponsorship")), "requires local work authorization"),
         F.when(unknown & ~c("is_remote"), "onsite, region unresolved"),
+        F.lit(None) if unknown_region else F.when(unknown, "region unresolved"),
         F.when(~unknown & ~allowed, F.concat(F.when(c("is_remote"), "remote in ").otherwise("onsite in "), label, F.lit(", not reachable"))),
     )
 

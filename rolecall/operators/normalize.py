@@ -52,7 +52,7 @@ def with_windowed_rules(jobs: DataFrame) -> DataFrame:
     """Adds pay and the degree flag, which look around their matches."""
     return jobs.withColumns({
         "advanced_degree": windows.needs_advanced_degree("title", "description"),
-        "pay": windows.extract_pay(t.text_of(F.col("title"), F.col("description"))),
+        "pay": windows.extract_pay("description"),
     })
 
 

@@ -13,7 +13,13 @@ def fingerprint(*columns: str) -> Column:
     return F.sha1(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}))
 
 
-def sync_actions(stored: DataFrame, wanted: DataFrame, covered: list[str] | None, known: list[str] | None, full: bool) -> DataFrame:
+def _scopes(scopes: DataFrame | list[str] | None, like: DataFrame, name: str) -> DataFrame:
+    """``scope`` and a column ``name`` that is true; scopes may be many, so they are a table, which Spark broadcasts if it is small."""
+    table = scopes if isinstance(scopes, DataFrame) else like.sparkSession.createDataFrame([(s,) for s in scopes or ()], "scope string")
+    return table.select(F.col("scope").alias("at_scope")).where("at_scope is not null").distinct().withColumn(name, F.lit(True))
+
+
+def sync_actions(stored: DataFrame, wanted: DataFrame, covered: DataFrame | list[str] | None, known: DataFrame | list[str] | None, full: bool) -> DataFrame:
     """``source, source_job_id, action, missed_runs`` of every stored or wanted key.
 
     stored: key, scope, fingerprint, missed_runs; wanted: key, scope, fingerprint,
@@ -21,15 +27,21 @@ def sync_actions(stored: DataFrame, wanted: DataFrame, covered: list[str] | None
     fingerprint differs or runs were missed); skip; retired (a scope no longer
     known); uncovered (its scope wasn't proven checked); close (missed once if the
     listing is full, twice if searched); miss. With nothing covered, nothing closes
-    or misses. An empty scope is judged whenever anything was covered.
+    or misses. An empty scope is judged whenever anything was covered. ``covered`` and
+    ``known`` are tables with a column ``scope``, or lists.
     """
     last = wanted.groupBy(*_KEY).agg(F.max_by(F.struct("scope", "fingerprint"), "ordinal").alias("new"))
     both = stored.select(*_KEY, F.struct("scope", "fingerprint", "missed_runs").alias("old")).join(last, list(_KEY), "full_outer")
     old, new = F.col("old"), F.col("new")
     scope = F.coalesce(old["scope"], F.lit(""))
     missed = F.coalesce(old["missed_runs"], F.lit(0))
-    retired = (scope != "") & ~scope.isin(known) if known is not None else F.lit(False)
-    judged = (scope == "") | scope.isin(covered) if covered else F.lit(False)
+    is_covered = _scopes(covered, stored, "covered")
+    some = not is_covered.isEmpty()
+    both = both.withColumn("at_scope", scope).join(is_covered, "at_scope", "left")
+    if known is not None:
+        both = both.join(_scopes(known, stored, "known"), "at_scope", "left")
+    retired = (scope != "") & F.col("known").isNull() if known is not None else F.lit(False)
+    judged = ((scope == "") | F.col("covered").isNotNull()) if some else F.lit(False)
     action = (
         F.when(old.isNull(), "insert")
         .when(new.isNotNull(), F.when((old["fingerprint"] != new["fingerprint"]) | (missed > 0), "update").otherwise("skip"))

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from rolecall import vocabulary as v
 from rolecall.functions import text as t
-from rolecall.functions import urls
+from rolecall.functions import urls, windows
 from rolecall.operators import dedupe, export, gate, health, listing, normalize, score, sync
 from rolecall.operators.listing import JobFilter
-from rolecall.plans import boards, landing, links
+from rolecall.plans import boards, landing, links, upkeep
 from rolecall.plans.sql import (
     JOBS_SQL, NORMALIZED_SQL, NOW, PARTS_SQL, REASONS_SQL, brand_sql, canonical_sql, company_sql, host_sql, lit, rx, strip_sql,
 )
-from rolecall.sources.postings import AS_OF, POSTINGS_SQL, postings
+from rolecall.sources.postings import AS_OF, DESCRIPTIONS, POSTINGS_SQL, postings
 from rolecall.staging import stage_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +36,11 @@ def _query(sql: str | None):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | landing.QUERIES | boards.QUERIES | links.QUERIES
+    return _QUERIES | landing.QUERIES | boards.QUERIES | links.QUERIES | upkeep.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | landing.SQL | boards.SQL | links.SQL
+    return _SQL | landing.SQL | boards.SQL | links.SQL | upkeep.SQL
 
 
 def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,10 +302,47 @@ def drop_duplicate_documents(spark, sf_dir):
 
 @_query(None)
 def export_snapshot(spark, sf_dir):
-    """The snapshot's JSON lines; checked field by field in tests."""
+    """The snapshot's JSON lines; a test holds every key against the stored columns."""
     return export.snapshot(_jobs(spark, sf_dir).where("drop_reason is null"), AS_OF)
 
 
+@_query(None)
+def export_header(spark, sf_dir):
+    """The snapshot's header."""
+    return export.header(export_snapshot(spark, sf_dir), AS_OF)
+
+
+_PAY = {4: (25000, None, "INR", "₹25,000/month"), 12: (1200000, 1800000, "INR", "₹12-18 LPA"), 17: (4500, None, "USD", "$4,500/month")}
+_PAY_AT = f"(o_orderkey * 11 + o_custkey * 2) % {len(DESCRIPTIONS)}"
+
+
+def _pay_sql(part: int, kind: str) -> str:
+    cases = " ".join(f"WHEN {k} THEN {lit(row[part]) if isinstance(row[part], str) else row[part] or 'NULL'}" for k, row in _PAY.items())
+    return f"CAST(CASE {_PAY_AT} {cases} END AS {kind})"
+
+
+@_query(f"SELECT '' || o_orderkey AS source_job_id, {_pay_sql(0, 'BIGINT')} AS pay_min, {_pay_sql(1, 'BIGINT')} AS pay_max, {_pay_sql(2, 'VARCHAR')} AS currency, {_pay_sql(3, 'VARCHAR')} AS label FROM orders")
+def extract_pay(spark, sf_dir):
+    """Pay that the description states; its SQL knows by hand which descriptions do."""
+    pay = windows.extract_pay("description")
+    return postings(spark, sf_dir).select("source_job_id", pay.alias("pay")).select("source_job_id", "pay.pay_min", "pay.pay_max", "pay.currency", "pay.label")
+
+
+@_query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Merkle Science' WHEN 1 THEN 'eBay' WHEN 2 THEN '3M Corp' ELSE c_name END AS company FROM customer WHERE c_name <> lower(c_name)")
+def display_company(spark, sf_dir):
+    """Names as cards show them."""
+    k = F.col("c_custkey")
+    name = F.when(k % 4 == 0, "merkle-science").when(k % 4 == 1, "eBay").when(k % 4 == 2, "3m_corp").otherwise(F.col("c_name"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", t.display_company(name).alias("company"))
+
+
+@_query(f"""WITH {JOBS_SQL} SELECT source_job_id, CASE WHEN drop_reason IS NULL OR drop_reason LIKE 'requires %+ yoe' OR drop_reason LIKE 'region%' OR drop_reason LIKE 'onsite%' OR drop_reason LIKE 'remote in%' OR drop_reason LIKE 'requires local%'
+  THEN CASE WHEN min_yoe IS NULL THEN 'yoe unknown' WHEN drop_reason IS NULL AND list_contains(hiring_regions, 'unknown') THEN 'region unresolved' ELSE drop_reason END ELSE drop_reason END AS drop_reason FROM jobs""")
+def strict_gate_reasons(spark, sf_dir):
+    """The gate where postings must state their years and region."""
+    return _jobs(spark, sf_dir).withColumn("drop_reason", gate.drop_reason(AS_OF, unknown_yoe=False, unknown_region=False)).select("source_job_id", "drop_reason")
+
+
 @_query(f"""WITH {NORMALIZED_SQL}, gaps AS (
   SELECT sha256(title || chr(0) || company || chr(0) || description) AS description_hash, CASE WHEN list_contains(hiring_regions, 'unknown') THEN 0 ELSE 1 END AS u, ordinal
   FROM normalized WHERE description IS NOT NULL AND (list_contains(hiring_regions, 'unknown') OR min_yoe IS NULL OR requires_work_auth IS NULL)

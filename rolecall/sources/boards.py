@@ -84,7 +84,12 @@ class Source(NamedTuple):
     row: Callable[[Column], dict[str, Column]]
 
 
-_SLUG, _HOST = F.col("slug"), F.col("host")
+def _slug() -> Column:
+    return F.col("slug")
+
+
+def _host() -> Column:
+    return F.col("host")
 
 
 def _in(name: str) -> Callable[[Column], Column]:
@@ -124,7 +129,7 @@ def _remote(place: Column, remote: Column) -> Column:
 
 
 def _own(i: Column, name: str = "id") -> Column:
-    return F.concat_ws(":", _SLUG, i[name])
+    return F.concat_ws(":", _slug(), i[name])
 
 
 def _by_words(place: Column, groups: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
@@ -148,7 +153,7 @@ def _greenhouse(i: Column) -> dict[str, Column]:
     place = F.coalesce(i["location"]["name"], F.lit(""))
     board = F.trim(F.regexp_replace(i["company_name"], r"(?i)\s*[-|:]?\s*(job\s*board|careers?|jobs)\s*$", ""))
     return {
-        "source_job_id": _own(i), "url": i["absolute_url"], "title": i["title"], "company": F.coalesce(text(board), text(i["company_name"]), _SLUG),
+        "source_job_id": _own(i), "url": i["absolute_url"], "title": i["title"], "company": F.coalesce(text(board), text(i["company_name"]), _slug()),
         "description": p.html_to_text(i["content"]), "location_raw": F.coalesce(text(place), text(F.array_join(offices, ", "))),
         "tags": F.transform(i["departments"], lambda d: F.coalesce(d["name"], F.lit(""))), "posted_at": F.coalesce(p.parse_iso(i["first_published"]), p.parse_iso(i["updated_at"])),
         "hiring_regions_hint": _by_words(F.concat_ws(" ", place, offices), GREENHOUSE_WORDS), "employment_type_hint": _intern(i["title"], pattern=p.INTERN_TITLE_PLURAL),
@@ -171,7 +176,7 @@ def _smartrecruiters(i: Column) -> dict[str, Column]:
     place = F.coalesce(text(loc["fullLocation"]), _joined(F.array(loc["city"], loc["region"], loc["country"]), ", "))
     region = _lookup(SMART_COUNTRY, F.lower(loc["country"]))
     return {
-        "source_job_id": _own(i), "url": F.concat(F.lit("https://jobs.smartrecruiters.com/"), _SLUG, F.lit("/"), i["id"]), "title": i["name"], "company": F.coalesce(text(i["company"]["name"]), _SLUG),
+        "source_job_id": _own(i), "url": F.concat(F.lit("https://jobs.smartrecruiters.com/"), _slug(), F.lit("/"), i["id"]), "title": i["name"], "company": F.coalesce(text(i["company"]["name"]), _slug()),
         "location_raw": _remote(place, loc["remote"]), "tags": _some(i["department"]["label"], i["function"]["label"], i["industry"]["label"]), "posted_at": p.parse_iso(i["releasedDate"]),
         "hiring_regions_hint": F.array(F.coalesce(region, F.lit("unknown"))), "employment_type_hint": _kind(SMART_TYPES, F.lower(i["typeOfEmployment"]["id"])),
         "min_yoe_hint": _lookup(SMART_YOE, i["experienceLevel"]["id"]),
@@ -194,8 +199,8 @@ def _recruitee(i: Column) -> dict[str, Column]:
     kind = _intern(i["title"], i["employment_type_code"].contains("intern"))
     stamp = lambda c: F.when(c.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d UTC$"), F.try_to_timestamp(F.substr(c, F.lit(1), F.lit(19)))).cast("timestamp_ntz")
     return {
-        "source_job_id": _own(i), "url": F.coalesce(text(i["careers_url"]), F.concat(F.lit("https://"), _SLUG, F.lit(".recruitee.com/o/"), i["slug"])), "title": i["title"],
-        "company": F.coalesce(text(i["company_name"]), _SLUG), "description": text(_joined(F.array(p.html_to_text(i["description"]), p.html_to_text(i["requirements"])), "\n\n")),
+        "source_job_id": _own(i), "url": F.coalesce(text(i["careers_url"]), F.concat(F.lit("https://"), _slug(), F.lit(".recruitee.com/o/"), i["slug"])), "title": i["title"],
+        "company": F.coalesce(text(i["company_name"]), _slug()), "description": text(_joined(F.array(p.html_to_text(i["description"]), p.html_to_text(i["requirements"])), "\n\n")),
         "location_raw": _remote(i["location"], i["remote"]), "tags": _all(F.concat(F.array(i["department"]), F.coalesce(i["tags"], F.array().cast("array<string>")))),
         "posted_at": stamp(F.coalesce(text(i["published_at"]), i["created_at"])), "employment_type_hint": kind,
         "hiring_regions_hint": p.with_india(p.regions_from_text(i["location"]), i["country_code"] == "IN", alone=True),
@@ -225,8 +230,8 @@ def _rippling(i: Column) -> dict[str, Column]:
 def _workday(i: Column) -> dict[str, Column]:
     site = F.element_at(F.split("scope", ":"), -1)
     return {
-        "source_job_id": F.concat_ws(":", _SLUG, site, i["externalPath"]), "url": F.concat(_HOST, F.lit("/"), site, i["externalPath"]), "title": i["title"],
-        "company": F.initcap(F.replace(_SLUG, F.lit("-"), F.lit(" "))), "location_raw": text(i["locationsText"]), "tags": i["bulletFields"], "posted_on": i["postedOn"],
+        "source_job_id": F.concat_ws(":", _slug(), site, i["externalPath"]), "url": F.concat(_host(), F.lit("/"), site, i["externalPath"]), "title": i["title"],
+        "company": F.initcap(F.replace(_slug(), F.lit("-"), F.lit(" "))), "location_raw": text(i["locationsText"]), "tags": i["bulletFields"], "posted_on": i["postedOn"],
         "hiring_regions_hint": p.regions_from_text(F.concat_ws(" ", F.coalesce(i["locationsText"], F.lit("")), i["title"])),
         "employment_type_hint": F.when(i["title"].rlike(r"(?i)\b(intern|internship|co-?op|apprentice|trainee)\b"), "internship").otherwise("unknown"),
     }
@@ -235,7 +240,7 @@ def _workday(i: Column) -> dict[str, Column]:
 def _oracle(i: Column) -> dict[str, Column]:
     site = F.element_at(F.split("scope", ":"), -1)
     return {
-        "source_job_id": _own(i, "Id"), "url": F.concat(F.lit("https://"), _HOST, F.lit("/hcmUI/CandidateExperience/en/sites/"), site, F.lit("/job/"), i["Id"]), "title": i["Title"],
+        "source_job_id": _own(i, "Id"), "url": F.concat(F.lit("https://"), _host(), F.lit("/hcmUI/CandidateExperience/en/sites/"), site, F.lit("/job/"), i["Id"]), "title": i["Title"],
         "description": i["ShortDescriptionStr"], "location_raw": text(i["PrimaryLocation"]), "tags": _some(i["JobFamily"], i["WorkerType"]), "posted_at": p.parse_iso(i["PostedDate"]),
         "hiring_regions_hint": p.with_india(p.regions_from_text(i["PrimaryLocation"]), i["PrimaryLocationCountry"] == "IN", alone=True),
         "employment_type_hint": F.when(i["Title"].rlike(r"(?i)\b(intern|internship|trainee|apprentice|summer\s+analyst)\b"), "internship").otherwise("unknown"),
@@ -282,7 +287,7 @@ def _eightfold_place(i: Column) -> Column:
 def _eightfold(i: Column) -> dict[str, Column]:
     place = _eightfold_place(i)
     return {
-        "source_job_id": _own(i), "url": F.coalesce(text(i["canonicalPositionUrl"]), F.concat(F.lit("https://"), _HOST, F.lit("/careers/job/"), i["id"])), "title": i["name"],
+        "source_job_id": _own(i), "url": F.coalesce(text(i["canonicalPositionUrl"]), F.concat(F.lit("https://"), _host(), F.lit("/careers/job/"), i["id"])), "title": i["name"],
         "description": p.html_to_text(i["job_description"]), "location_raw": _remote(place, i["work_location_option"] == "remote"), "tags": _some(i["department"], i["business_unit"]),
         "posted_at": p.seconds(i["t_create"]), "hiring_regions_hint": p.with_india(p.regions_from_text(place), F.lit(True), alone=True), "employment_type_hint": _intern(i["name"]),
     }
@@ -332,7 +337,7 @@ def _simplify(i: Column) -> dict[str, Column]:
     return {
         "source_job_id": F.coalesce(text(i["id"]), i["url"]), "url": i["url"], "title": i["title"], "company": F.coalesce(i["company_name"], F.lit("")), "location_raw": text(place),
         "tags": F.concat(F.coalesce(i["terms"], F.array().cast("array<string>")), _some(i["category"])), "posted_at": p.seconds(i["date_posted"]), "hiring_regions_hint": p.regions_from_text(place),
-        "employment_type_hint": F.when(_SLUG == "new-grad", "full_time").otherwise("internship"), "min_yoe_hint": F.lit(0),
+        "employment_type_hint": F.when(_slug() == "new-grad", "full_time").otherwise("internship"), "min_yoe_hint": F.lit(0),
     }
 
 
@@ -465,7 +470,7 @@ def read(responses: DataFrame, connector: str, as_of: str) -> DataFrame:
     if "posted_on" in fields:
         fields["posted_at"] = parse_relative_posted(fields.pop("posted_on"), now)
     nothing = {"description": "string", "salary_raw": "string", "posted_at": "timestamp_ntz", "min_yoe_hint": "int"}
-    fields = {c: F.lit(None).cast(kind) for c, kind in nothing.items()} | {"company": _SLUG} | fields
+    fields = {c: F.lit(None).cast(kind) for c, kind in nothing.items()} | {"company": _slug()} | fields
     named = F.coalesce(text(F.col("name")), fields["company"]) if connector in FULL + ("workday", "oracle") and connector not in ("atlassian", "goldman", "simplify", "smartrecruiters") else fields["company"]
     found = rows.select(
         F.col("connector").alias("source"), fit_id(fields["source_job_id"]).alias("source_job_id"), "scope", F.coalesce(fields["url"], F.lit("")).alias("url"), F.coalesce(fields["title"], F.lit("")).alias("title"),
