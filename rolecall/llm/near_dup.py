@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm.words import mix, shingle_sets, utf8
+from rolecall.llm.words import common_counts, mix, shingle_sets, utf8
+from rolecall.operators.blocks import attend, blocks_by_size, meetings
 from rolecall.operators.components import connected_components
 from rolecall.operators.joins import join_hot
-from rolecall.staging import stage_table
+from rolecall.staging import drop_stage, stage_table
 
 #: Up to so many ids (8 bytes each) are broadcast to pick candidates' texts; more are joined by a shuffle.
 MOST_BROADCAST = 1 << 20
@@ -37,6 +38,7 @@ class Settings(NamedTuple):
     batch: int = 16
     miss: float = 1e-6
     block: int = 256
+    block_bytes: int = 4 << 20
 
 
 @functools.cache
@@ -80,6 +82,10 @@ def survivors(a: np.ndarray, b: np.ndarray, settings: Settings) -> np.ndarray:
     return alive
 
 
+def _class(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def _sign(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = settings.rows * settings.bands
@@ -87,7 +93,7 @@ def _sign(settings: Settings):
             sizes, classes, signatures = [], [], []
             for x in shingle_sets(utf8(batch.column(1)), settings.words):
                 sizes.append(len(x))
-                classes.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
+                classes.append(_class(x))
                 signatures.append(signature(x, n).tobytes() if len(x) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "class", "signature"])
 
@@ -109,84 +115,82 @@ def _band_keys(settings: Settings):
     return run
 
 
-def _signed(column: pa.Array, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, n)
-
-
-def _prune(settings: Settings):
+def _sets(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = settings.rows * settings.bands
         for batch in batches:
-            keep = pa.array(survivors(_signed(batch.column(2), n), _signed(batch.column(3), n), settings)) if batch.num_rows else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+            sets = [*shingle_sets(utf8(batch.column(1)), settings.words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_class(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "class", "members"])
 
     return run
 
 
-def _blocks(settings: Settings):
-    """Pairs of two blocks' members that are in different components and stay possible."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = settings.rows * settings.bands
-        for batch in batches:
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = (np.frombuffer(b"".join(m["signature"] for m in side), "<u4").reshape(-1, n) for side in (left, right))
-                part = np.array([m["component"] for m in right])
-                ids = np.array([m["node"] for m in right])
-                out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-                for row, member in zip(x, left, strict=True):
-                    other = np.flatnonzero(part != member["component"])
-                    found = ids[other[survivors(np.broadcast_to(row, (len(other), n)), y[other], settings)]]
-                    out.append(np.stack([np.minimum(found, member["node"]), np.maximum(found, member["node"])], 1))
-                pairs = np.unique(np.concatenate(out), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    return run
+def _signed(rows: list[dict]) -> np.ndarray:
+    return np.frombuffer(b"".join(r["signature"] for r in rows), "<u4").reshape(len(rows), -1)
 
 
-def _sets(settings: Settings):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [x.tobytes() for x in shingle_sets(utf8(batch.column(1)), settings.words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "members"])
+def _members(rows: list[dict]) -> list[np.ndarray]:
+    return [np.frombuffer(r["members"], np.uint64) for r in rows]
 
-    return run
 
+def _verify_pairs(settings: Settings):
+    """The pairs of two documents that stay possible by their signatures and reach the similarity on their full sets."""
 
-def _verify(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = settings.similarity
         for batch in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            left, right = (batch.column(k).to_pylist() for k in range(2))
+            found = []
+            for k in survivors(_signed(left), _signed(right), settings) if left else ():
+                x, y = np.frombuffer(left[k]["members"], np.uint64), np.frombuffer(right[k]["members"], np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if b * both >= a * (len(x) + len(y) - both):
-                    keep.append(k)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+                    found.append((left[k]["node"], right[k]["node"]))
+            yield _pairs(found)
 
     return run
 
 
-def _with(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """Adds a value of each end: ``a, b, x, y``. An end with many pairs, such as a hub, is joined as a heavy key."""
-    for end, name in (("a", "x"), ("b", "y")):
-        held = stage_table(pairs.groupBy(end).agg(F.count("*").alias("n_rows")).join(values.select(F.col("node").alias(end), F.col(column).alias(name)), end))
-        pairs = join_hot(pairs, held, end)
-    return pairs.select("a", "b", "x", "y")
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+
+def _verify_blocks(settings: Settings):
+    """The components that similar members of two blocks of a band, or of one, join: as few pairs of components as connect them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = settings.similarity
+        for batch in batches:
+            for own, other, rows in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                signed, part, side = _signed(rows), np.array([m["component"] for m in rows]), np.array([m["block"] for m in rows])
+                odd = part != np.array([m["top"] for m in rows])
+                pairs = [np.zeros((0, 2), np.int64)]
+                for i in np.flatnonzero(odd):
+                    # Each pair once, though both ends may be odd.
+                    to = np.flatnonzero((part != part[i]) & (~odd | (np.arange(len(rows)) > i)) & ((side != side[i]) | (own == other)))
+                    near = to[survivors(np.broadcast_to(signed[i], (len(to), signed.shape[1])), signed[to], settings)]
+                    pairs.append(np.stack([np.full(len(near), i), near], 1))
+                one, two = np.concatenate(pairs).T
+                (left, at), (right, to) = (np.unique(x, return_inverse=True) for x in (one, two))
+                size = np.array([len(m["members"]) // 8 for m in rows])
+                both = common_counts(_members([rows[i] for i in left]), _members([rows[j] for j in right]))[at, to]
+                linked = b * both >= a * (size[one] + size[two] - both)
+                root: dict[int, int] = {}
+
+                def top(c: int) -> int:
+                    while (up := root.get(c, c)) != c:
+                        root[c] = root.get(up, up)
+                        c = up
+                    return c
+
+                found = []
+                for i, j in zip(one[linked].tolist(), two[linked].tolist(), strict=True):
+                    c, d = top(rows[i]["component"]), top(rows[j]["component"])
+                    if c != d:
+                        root[max(c, d)] = min(c, d)
+                        found.append((rows[i]["component"], rows[j]["component"]))
+                yield _pairs(found)
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, settings: Settings, pruned: bool) -> DataFrame:
-    """The pairs that reach the similarity on their full sets."""
-    pairs = stage_table(pairs.distinct())
-    if not pruned:
-        pairs = stage_table(_with(pairs, nodes, "signature").mapInArrow(_prune(settings), "a long, b long"))
-    ids = stage_table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = ids.count() <= MOST_BROADCAST
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = stage_table(texts.dropDuplicates(["doc_id"]).mapInArrow(_sets(settings), "node long, members binary"))
-    return stage_table(_with(pairs, sets, "members").mapInArrow(_verify(settings), "a long, b long"))
+    return run
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -196,56 +200,84 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     than a shingle is one shingle; null and empty texts have none and link with
     nothing. Documents of equal sets form a class and are linked; classes stand for
     their members from there on. Classes that share a MinHash band are candidates:
-    first each with its band's hub only, then, where a band still spans several
-    components, all members across components, block against block in one task at a
-    time. Batches of hashes prune candidates by their posterior chance; survivors
-    are verified on their full sets. component_id is the smallest doc_id reachable.
-    Repeated rows of one doc_id must carry one text; they are returned each. An
-    empty table gives no rows; other columns are not read.
+    first each with its band's smallest and largest member only, then, where a band
+    still spans several components, all members across components, in blocks of
+    bounded bytes that meet two at a time. Batches of hashes prune candidates by their
+    posterior chance; survivors are verified on their full sets where they meet, and
+    only links leave. component_id is the smallest doc_id reachable. Repeated rows of
+    one doc_id are returned each; if their texts differ, one of them is compared, and all
+    take its component. Rows without a doc_id are left out. An empty table gives no rows; other columns are not
+    read. A text takes about 60 bytes a word while it is read.
     """
-    n = settings.rows * settings.bands
-    seen = stage_table(docs.select("doc_id", "text").mapInArrow(_sign(settings), _SEEN))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    seen = stage_table(given.mapInArrow(_sign(settings), _SEEN))
     classes = stage_table(
         seen.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows"))
     )
-    nodes = stage_table(join_hot(seen.where("class is not null").select("doc_id", "class", "signature"), classes, "class").where("doc_id = node").dropDuplicates(["node"]).select("node", "signature"))
-    bands = nodes.mapInArrow(_band_keys(settings), "band long, node long")
-    # The hub is another member in every band, so one odd hub doesn't hide a group.
-    spread = F.xxhash64("band", "node")
-    hubs = bands.groupBy("band").agg(F.min(F.struct(spread.alias("h"), "node")).alias("hub"), F.count("*").alias("n_rows")).where("n_rows > 1").select("band", F.col("hub.node").alias("hub"), "n_rows")
-    bands = stage_table(join_hot(bands, stage_table(hubs), "band"))
-    spokes = bands.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    links = _confirmed(spokes, docs, nodes, settings, pruned=False)
+    nodes = stage_table(
+        join_hot(seen.where("class is not null").select("doc_id", "class", "signature"), classes, "class").where("doc_id = node")
+        .groupBy("node").agg(F.min(F.struct("class", "signature")).alias("one")).select("node", "one.*")
+    )
+    bands = nodes.select("node", "signature").mapInArrow(_band_keys(settings), "band long, node long")
+    # The marks tell bands of other members apart.
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    groups = stage_table(bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n_rows"), *marks).where("n_rows > 1"))
+    bands = stage_table(join_hot(bands, groups.select("band", "low", "high", "n_rows"), "band"))
+    ids = stage_table(bands.select(F.col("node").alias("doc_id")).distinct())
+    texts = given.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(settings), "node long, class binary, members binary").dropDuplicates(["node", "class"])
+    held = stage_table(nodes.join(sets, ["node", "class"]).select("node", "signature", "members"))
+    drop_stage(nodes)
+    spokes = bands.selectExpr("low as a", "node as b").where("a <> b").unionByName(bands.selectExpr("node as a", "high as b").where("a <> b and a <> low")).distinct()
+    links = stage_table(_with(stage_table(spokes), held).mapInArrow(_verify_pairs(settings), "a long, b long"))
     parts = stage_table(connected_components(links, "a", "b"))
-    members = stage_table(bands.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")))
-    rest = _across(members, nodes, n, settings)
-    more = _confirmed(rest, docs, nodes, settings, pruned=True)
-    parts = stage_table(connected_components(links.unionByName(more), "a", "b"))
+    more = stage_table(connected_components(stage_table(_across(bands, groups, parts, held, settings).distinct()), "a", "b"))
     final = stage_table(
-        classes.join(parts, "node", "left").select("class", F.coalesce("component", "node").alias("component_id"), "n_rows")
+        classes.join(parts, "node", "left").select("class", "n_rows", F.coalesce("component", "node").alias("component"))
+        .join(more.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left")
+        .select("class", F.coalesce("further", "component").alias("component_id"), "n_rows")
     )
     alone = seen.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return join_hot(seen.where("class is not null").select("doc_id", "n_shingles", "class"), final, "class").select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
-def _across(members: DataFrame, nodes: DataFrame, n: int, settings: Settings) -> DataFrame:
-    """Possible pairs across components, from the bands that span several.
+def _with(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Both ends' rows of ``held``: ``x, y``. An end with many pairs, such as a hub, is joined as a heavy key."""
+    for end, name in (("a", "x"), ("b", "y")):
+        count = pairs.groupBy(end).agg(F.count("*").alias("n_rows")).withColumnRenamed(end, "node")
+        side = stage_table(count.join(held, "node").select(F.col("node").alias(end), F.struct("node", "signature", "members").alias(name), "n_rows"))
+        pairs = join_hot(pairs, side, end)
+    return pairs.select("x", "y")
+
+
+def _across(bands: DataFrame, groups: DataFrame, parts: DataFrame, held: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs of components that similar members join, from the bands that span several.
 
-    In each such band the members outside its largest component meet all members:
-    blocks of them by blocks of all, each pair of blocks one row.
+    In each such band the members outside its largest component meet all members, block
+    by block. Bands of three are compared already, and of bands of the same members one will do.
     """
-    sizes = members.groupBy("band", "component").agg(F.count("*").alias("n"))
-    spans = (
-        sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n_rows"), F.count("*").alias("parts"))
+    once = groups.where("n_rows > 3").groupBy("n_rows", "mark0", "mark1").agg(F.min("band").alias("band")).select("band", F.col("n_rows").cast("long").alias("n_rows"))
+    members = stage_table(
+        join_hot(bands.select("band", "node"), stage_table(once), "band").join(parts, "node", "left")
+        .select("band", "node", F.coalesce("component", "node").alias("component"))
+    )
+    spans = stage_table(
+        members.groupBy("band", "component").agg(F.count("*").alias("n"))
+        .groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n_rows"), F.count("*").alias("parts"))
         .where("parts > 1").select("band", F.col("top.component").alias("top"), "n_rows")
-        .withColumn("n_blocks", F.ceil(F.col("n_rows") / settings.block).cast("int"))
     )
-    open_ = join_hot(members, stage_table(spans.withColumnRenamed("n_rows", "n").withColumn("n_rows", F.col("n")).drop("n")), "band")
-    signed = open_.join(nodes, "node").withColumn("block", F.pmod(F.xxhash64("node", "band"), "n_blocks"))
-    row = F.struct("node", "component", "signature")
-    all_ = stage_table(signed.groupBy("band", "block").agg(F.collect_list(row).alias("right")))
-    odd = signed.where("component <> top").groupBy("band", "block").agg(F.collect_list(row).alias("left")).withColumnRenamed("block", "own")
-    return odd.join(all_, "band").select("left", "right").mapInArrow(_blocks(settings), "a long, b long")
+    sizes = held.select("node", (F.octet_length("members") / 8).cast("long").alias("size"))
+    open_ = stage_table(join_hot(members, spans, "band").join(sizes, "node"))
+    placed = stage_table(blocks_by_size(open_, "band", "node", F.greatest(8 * F.col("size"), F.lit(settings.block_bytes // settings.block)), settings.block_bytes))
+    heads = placed.groupBy("band", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.max(F.expr("component <> top")).alias("odd"))
+    a, b = settings.similarity
+    meet = meetings(heads, "band", f"(l.odd or r.odd) and {b} * l.hi >= {a} * r.lo and {b} * r.hi >= {a} * l.lo")
+    by_node = attend(placed, meet, "band").groupBy("node").agg(F.collect_list(F.struct("band", "own", "other", "block", "component", "top")).alias("meetings"))
+    rows = held.join(by_node, "node").withColumn("at", F.explode("meetings")).select("at.*", "node", "signature", "members")
+    return (
+        rows.groupBy("band", "own", "other").agg(F.collect_list(F.struct("block", "component", "top", "signature", "members")).alias("rows"))
+        .select("own", "other", "rows").mapInArrow(_verify_blocks(settings), "a long, b long")
+    )
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
