@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node"))
     links = stage_table(_down(pairs).distinct())
     state = _sum(links)
-    while True:
+    while state[0]:
         links = stage_table(_star(links, big=True))
         links = stage_table(_star(links, big=False))
         if (now := _sum(links)) == state:

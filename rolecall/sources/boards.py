@@ -446,8 +446,11 @@ def items(connector: str, body: Column) -> Column:
     kind = source.payload.replace("%", f"array<struct<{source.item}>>")
     parse = F.from_xml if connector in RSS else F.from_json
     starts = "<" if connector in RSS else r"\[" if source.payload == "%" else r"\{"
-    found = source.items(parse(body, kind))
-    return F.when(body.rlike(rf"^\s*{starts}"), F.coalesce(found, F.array().cast(f"array<struct<{source.item}>>")))
+    parsed = parse(body, kind)
+    found = source.items(parsed)
+    if connector in RSS:  # without items there is no array
+        found = F.when(parsed["channel"].isNotNull(), F.coalesce(found, F.array().cast(f"array<struct<{source.item}>>")))
+    return F.when(body.rlike(rf"^\s*{starts}"), found)
 
 
 def status(responses: DataFrame, connector: str) -> DataFrame:
