@@ -32,6 +32,8 @@ MOST_RULES = 500
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that don't change the page.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
+#: Links that lead to no page, as ``mailto:``.
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def host_of(url: Column) -> Column:
@@ -51,14 +53,17 @@ def page_key(url: Column) -> Column:
 
 
 def link_target(html: Column, url: Column) -> Column:
-    """Where a page says it really is: its canonical link, else its refresh redirect; else null."""
+    """Where a page says it really is: its canonical link, else its refresh redirect; else null. Relative links are resolved, but for steps up."""
     canonical = F.regexp_extract(F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract(F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     link = F.regexp_replace(F.when(canonical != "", canonical).otherwise(refresh), "(?i)&amp;", "&")
+    here = F.concat(F.lit("http://"), host_of(url))
     return (
         F.when(link.contains("://"), link)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
-        .when(link.startswith("/"), F.concat(F.lit("http://"), host_of(url), link))
+        .when(link.startswith("/"), F.concat(here, link))
+        .when(link.startswith("?"), F.concat(here, path_of(url), link))
+        .when((link != "") & ~link.startswith("#") & ~link.rlike(SCHEME), F.concat(here, F.coalesce(F.nullif(F.regexp_replace(path_of(url), "[^/]*$", ""), F.lit("")), F.lit("/")), link))
     )
 
 
@@ -140,7 +145,8 @@ WITH RECURSIVE linked AS (
       regexp_extract(regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>'), '(?is)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)), '(?i)&amp;', '&', 'g') AS link
   FROM pages
 ), aimed AS (
-  SELECT *, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link WHEN starts_with(link, '/') THEN 'http://' || host || link END AS target FROM linked
+  SELECT *, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link WHEN starts_with(link, '/') THEN 'http://' || host || link
+    WHEN starts_with(link, '?') THEN 'http://' || host || path || link WHEN link <> '' AND NOT starts_with(link, '#') AND NOT regexp_matches(link, '{SCHEME}') THEN 'http://' || host || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || link END AS target FROM linked
 ), seen AS (
   SELECT page_id, host, path, {_sql_key("url")} AS key, {_sql_key("target")} AS aim, target,
     {_sql_rule("host", "path", False)} AS rule, {_sql_rule("host", "path", True)} AS ruled
