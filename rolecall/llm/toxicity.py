@@ -18,8 +18,6 @@ from rolecall.staging import stage_table
 
 #: Labelled documents of each class that the lexicon is learnt from, at most.
 SAMPLE = 4000
-#: Entries of a lexicon and exception phrases, at most.
-MOST_TERMS = 4000
 
 # Letters that look like Latin ones, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -78,8 +76,12 @@ class Matcher:
                     excused.append((start, end))
                 else:
                     found[start] = max(weight, found.get(start, 0.0))
-        for a, b in excused:
-            for place in [p for p in found if a <= p < b]:
+        covered = 0
+        excused.sort(reverse=True)
+        for place in sorted(found) if excused else ():
+            while excused and excused[-1][0] <= place:
+                covered = max(covered, excused.pop()[1])
+            if place < covered:
                 del found[place]
         return found
 
@@ -124,6 +126,18 @@ def _terms_of(text: str) -> list[tuple[str, int]]:
     return [(f, bit - (1 << 64) * (bit >> 63)) for f, bit in terms.items()]
 
 
+def _neighbours(folded: str, place: int) -> tuple[str, str, str]:
+    """The word before, the word that begins at ``place``, and the word after; empty at an end of the text."""
+    a = place - 1
+    while a >= 0 and folded[a] == " ":
+        a -= 1
+    end = folded.find(" ", place)
+    b = end
+    while b < len(folded) and folded[b] == " ":
+        b += 1
+    return folded[folded.rfind(" ", 0, a + 1) + 1 : a + 1], folded[place:end], folded[b : folded.find(" ", b)] if b < len(folded) else ""
+
+
 def _phrases_of(lexicon: Lexicon):
     matcher = None
 
@@ -132,10 +146,9 @@ def _phrases_of(lexicon: Lexicon):
         matcher = matcher or Matcher(lexicon)
         folded, out = fold(text), set()
         for place in matcher.matches(folded):
-            before, after = folded[max(0, place - 60) : place].split(), folded[place : place + 120].split()
-            if after:
-                out |= {(f"{before[-1]} {after[0]}", 1)} if before else set()
-                out |= {(f"{after[0]} {after[1]}", 1)} if len(after) > 1 else set()
+            before, word, after = _neighbours(folded, place)
+            out |= {(f"{before} {word}", 1)} if before else set()
+            out |= {(f"{word} {after}", 1)} if after else set()
         return out
 
     return run
@@ -158,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 8
     that copies of one text don't make its words terms), and its share among them is
     ``lift`` times that among clean ones; its weight is that log ratio. Phrases of
     a term and a neighbour that clean documents hold more often than toxic ones
-    are exceptions. Score: logistic in the summed weights and their density.
+    are exceptions. Both are bounded by what the sampled documents hold. Score: logistic in the summed weights and their density.
     Without labels of both classes the lexicon is empty and scores are the base rate.
     """
     rows = stage_table(training_rows(docs, labels, "toxic", sample).select("text", "label"))
@@ -168,12 +181,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 8
         return Lexicon({}, [], (4.0 if toxic else -4.0, 0.0, 0.0))
     ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
     terms = _counted(rows, _terms_of, least).where((F.col("toxic") >= least) & (F.col("contexts") >= 0.7 * least) & (ratio >= lift)).select("term", F.log(ratio).alias("w"))
-    weights = {r["term"]: r["w"] for r in terms.orderBy(F.desc("w"), "term").limit(MOST_TERMS).collect()}
+    weights = {r["term"]: r["w"] for r in terms.orderBy(F.desc("w"), "term").collect()}
     # A beginning that says much less than a longer term only borrows from it.
     weights = {t: w for t, w in weights.items() if not any(x.startswith(t) and weights[x] > w + 1 for x in weights)}
     plain = Lexicon(weights, [], (0.0, 1.0, 0.0))
     phrases = _counted(rows, _phrases_of(plain), 3).where("clean >= 3 and clean > toxic")
-    found = plain._replace(exceptions=[r["term"] for r in phrases.orderBy(F.desc("clean"), "term").limit(MOST_TERMS).collect()])
+    found = plain._replace(exceptions=[r["term"] for r in phrases.orderBy(F.desc("clean"), "term").collect()])
     matcher = None
 
     def evidence(text: str) -> list[tuple[float, float]]:
