@@ -152,8 +152,7 @@ def protect(docs: DataFrame, window: int = 10, least_documents: int = 2, thresho
     rows; other columns are not read.
     """
     spark = docs.sparkSession
-    seen = stage_table(docs.select("doc_id", "text").mapInArrow(_scan(window), _SEEN))
-    seen = seen.withColumn("row", F.monotonically_increasing_id())
+    seen = stage_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(window), _SEEN).withColumn("row", F.monotonically_increasing_id()))
     near = seen.where("size(near) > 0").select("row", "digest", F.explode("near").alias("x")).select("row", "digest", "x.*").withColumn("pair", F.concat_ws(" ", "entity", "term"))
     pairs = stage_table(
         near.select("pair", "entity", "term", "row", "digest").distinct().groupBy("pair", "entity", "term")
@@ -203,5 +202,6 @@ def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *map(count, KINDS), F.sha2(_joined("base"), 256).alias("base_sha256"),
         F.concat_ws(",", F.when(F.size("base") > 0, _joined("base")), F.when(F.size("added") > 0, _joined("added"))).alias("spans"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
 
