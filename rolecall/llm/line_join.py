@@ -1,71 +1,105 @@
-"""Line dedup by an exact set-similarity self-join of the lines' word sets."""
+"""Line dedup by an exact set-similarity join over the words of lines."""
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm.words import PUNCTUATION, chunks, mix, utf8, word_hashes
+from rolecall.llm.words import PUNCTUATION, chunks, common_counts, mix, utf8, word_hashes
+from rolecall.operators.blocks import attend, blocks_by_size, meetings
 from rolecall.operators.joins import join_hot
-from rolecall.staging import stage_table
+from rolecall.staging import drop_stage, stage_table
 
 #: Counters of word frequency. Rarity only orders the words, so words that share a counter cost time, not results.
 COUNTERS = 1 << 17
-#: Candidates per line of a word's group up to which they go as pairs; beyond, as blocks.
-SPARSE = 4
-BLOCK = 256
-#: Classes a task remembers so as to send a repeated line's prefix once.
-REMEMBERED = 1 << 20
+#: Classes a task remembers so as to send a repeated line's prefix once, and postings it gathers before it sends them.
+REMEMBERED = 1 << 18
+GATHERED = 1 << 19
+#: Meetings and words of them, about 50 bytes each, that are broadcast with the lines that attend; more are joined by a shuffle.
 MOST_BROADCAST = 1 << 20
 
+#: Kinds of rows: places, packed postings, postings of frequent words, pairs, members of dense groups.
+PLACE, PACKED, POSTING, PAIR, DENSE = range(5)
+_RECORD = np.dtype([("doc_id", "<i8"), ("line", "<i4"), ("ref", "<i8"), ("tail", "<i4")])
+#: Of a packed posting: the word's code, the class, the parity's two parts, the size and the place.
+_FIELDS = ("<u4", "<i8", "<u8", "<u4", "<u2", "<u2")
+_MIXED = "kind int, x1 long, x2 long, x3 long, x4 long, x5 long, x6 long"
+_ZSTD = pa.Codec("zstd", 1)
+
+
+class Limits(NamedTuple):
+    """Where the join changes its way; no result depends on them.
+
+    ``hot``: occurrences from which a word's lines are counted before they are compared.
+    ``slot``: postings packed together, about. ``sparse``: pairs for each line of a
+    word's group up to which they go as pairs; beyond, as the lines they hold.
+    ``postings``; ``sets`` and ``set_bytes``: of one of two blocks that meet.
+    """
+
+    hot: int = 1 << 15
+    slot: int = 250_000
+    sparse: int = 4
+    postings: int = 8192
+    sets: int = 256
+    set_bytes: int = 4 << 20
+
 
 class Lines:
     """Distinct words of each line of some texts, rarest first, in flat arrays."""
 
-    def __init__(self, texts: list[bytes], counts: np.ndarray | None):
+    def __init__(self, texts: list[bytes], levels: np.ndarray | None):
         hashes, begin, _, at = word_hashes(texts, PUNCTUATION)
-        starts, doc = [], []
-        for i, t in enumerate(texts):
-            ends = np.flatnonzero(np.frombuffer(t, np.uint8) == 10)
-            starts.append(np.concatenate([[0], ends + 1]))
-            doc.append(np.full(len(ends) + 1, i))
-        self.doc = np.concatenate(doc) if doc else np.zeros(0, np.int64)
-        base = np.cumsum([0, *(len(s) for s in starts)])
-        self.number = np.arange(len(self.doc)) - base[self.doc]
-        line = np.concatenate([base[i] + np.searchsorted(s, begin[at[i] : at[i + 1]], side="right") - 1 for i, s in enumerate(starts)]) if starts else np.zeros(0, np.int64)
-        rarity = counts[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)] if counts is not None else np.zeros(len(hashes), np.int64)
-        order = np.lexsort((hashes, rarity, line))
-        line, hashes = line[order], hashes[order]
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        ends = np.cumsum(sizes) - 1
+        breaks = np.flatnonzero(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8) == 10)
+        self.doc = np.searchsorted(ends, breaks)
+        self.number = np.arange(len(breaks)) - np.searchsorted(self.doc, np.arange(len(texts)))[self.doc]
+        line = np.searchsorted(breaks, begin + np.repeat(ends + 1 - sizes, np.diff(at)))
+        rarity = np.zeros(len(hashes), np.uint64) if levels is None else levels[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
+        # One number to sort by: the line, the level, and as much of the hash as has room.
+        bits = len(breaks).bit_length()
+        key = line.astype(np.uint64) << np.uint64(64 - bits) | rarity << np.uint64(55 - bits) | hashes >> np.uint64(9 + bits)
+        order = np.argsort(key)
+        key, hashes = key[order], hashes[order]
+        same = hashes[1:] == hashes[:-1]
+        if ((key[1:] == key[:-1]) & ~same).any():
+            hashes = hashes[(order := np.lexsort((hashes, rarity[order], line)))]
+            same = hashes[1:] == hashes[:-1]
         fresh = np.ones(len(line), bool)
-        fresh[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
+        fresh[1:] = (line[1:] != line[:-1]) | ~same
         self.words, self.line = hashes[fresh], line[fresh]
-        self.size = np.bincount(self.line, minlength=len(self.doc))
+        self.size = np.bincount(self.line, minlength=len(breaks))
         self.first = np.concatenate([[0], np.cumsum(self.size)])
+        self._mixed = mix(self.words)
 
-    def sums(self, values: np.ndarray) -> np.ndarray:
+    def _sums(self, values: np.ndarray) -> np.ndarray:
         """Sums modulo 2 ** 64 of the words' values, by line."""
         total = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values, out=total[1:])
         return total[self.first[1:]] - total[self.first[:-1]]
 
-    def classes(self) -> np.ndarray:
-        """96 bits of each line's set: equal for equal sets."""
-        out = np.zeros((len(self.doc), 3), "<u4")
-        one, two = self.sums(mix(self.words)), self.sums(mix(self.words ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-        out[:, :2] = one.view("<u4").reshape(-1, 2)
-        out[:, 2] = (two >> np.uint64(32)).astype("<u4")
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of each line's set, as a long and an int: equal for equal sets."""
+        return self._sums(self._mixed).view(np.int64), (self._sums(mix(self.words ^ np.uint64(0xA5A5A5A5A5A5A5A5))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    def parity(self) -> tuple[np.ndarray, np.ndarray]:
+        """96 bits of each line, as 64 and 32: a word flips one, so as many differ as words do, at most."""
+        out = np.zeros(len(self.size), np.uint64), np.zeros(len(self.size), np.uint64)
+        some = np.flatnonzero(self.size)
+        if len(some):
+            bit = (self._mixed >> np.uint64(32)) * np.uint64(96) >> np.uint64(32)
+            one = np.uint64(1) << bit % np.uint64(64)
+            for part, mine in zip(out, (bit < 64, bit >= 64), strict=True):
+                part[some] = np.bitwise_xor.reduceat(np.where(mine, one, np.uint64(0)), self.first[some])
         return out
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    rows = np.ascontiguousarray(rows)
-    return pa.Array.from_buffers(pa.binary(12), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
-
-
 def overlap_needed(x, y, t: float = 0.8):
     """Least common words of sets of sizes x and y with a Jaccard similarity of t."""
     return np.ceil(t / (1 + t) * (x + y) - 1e-9)
@@ -87,33 +121,66 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], names=["counter", "n"])
 
 
-def _places(least: int):
-    """Every line of ``least`` words or more, with its class."""
+def word_key(words: np.ndarray, slots: int) -> np.ndarray:
+    """What postings keep of a word: 32 bits, and the slot above them. Words that share it cost time, not results."""
+    return (words % np.uint64(1 << 32) % np.uint64(slots) << np.uint64(32) | words >> np.uint64(32)).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0), utf8(batch.column(1))
-            for a, b in chunks(texts):
-                lines = Lines(texts[a:b], None)
-                use = np.flatnonzero(lines.size >= least)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(lines.doc[use] + a)), pa.array(lines.number[use], pa.int32()), _binary(lines.classes()[use])], names=["doc_id", "line", "class"])
 
-    return run
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Postings, by code, as compressed bytes: the codes' differences, and the sizes' and places' bytes in planes of their own."""
+    columns = [np.diff(columns[0], prepend=0), *columns[1:]]
+    parts = [c.astype(f) for c, f in zip(columns, _FIELDS, strict=True)]
+    return len(parts[0]).to_bytes(4, "little") + _ZSTD.compress(b"".join([*(c.tobytes() for c in parts[:4]), *(c.view(np.uint8).reshape(-1, 2).T.tobytes() for c in parts[4:])]), asbytes=True)
+
 
+def _unpack(raw: bytes) -> list[np.ndarray]:
+    n, at, parts = int.from_bytes(raw[:4], "little"), 0, []
+    data = _ZSTD.decompress(raw[4:], n * sum(np.dtype(f).itemsize for f in _FIELDS), asbytes=True)
+    for k, f in enumerate(map(np.dtype, _FIELDS)):
+        parts.append(np.frombuffer(data, f, n, at) if k < 4 else np.ascontiguousarray(np.frombuffer(data, np.uint8, 2 * n, at).reshape(2, n).T).view(f)[:, 0])
+        at += n * f.itemsize
+    return [np.cumsum(parts[0], dtype=np.uint64), *parts[1:]]
 
-def _postings(counts, least: int, t: float):
-    """The prefix words of each line whose set may equal another of another size, or differ from it."""
+
+def _scatter(levels, hot_level: int, slots: int, least: int, t: float):
+    """Places of all lines, and the postings of each class once: the prefix words of its line, packed by slot.
+
+    Postings of frequent words and of very long lines are packed apart, spread over the slots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity, sent = counts.value, set()
+        sent: set[bytes] = set()
+        held: list[list[np.ndarray]] = []
+        spread = 0
+
+        def packed(slot: list[int], kind: list[int], data: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["slot", "kind", "data"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            if not len(columns[0]):
+                return
+            order = np.argsort(columns[0])
+            columns = [c[order] for c in columns]
+            slot = columns[0] >> 32
+            cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1), len(slot)]
+            columns[0] &= 0xFFFFFFFF
+            data = [_pack([c[x:y] for c in columns]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield packed([int(slot[x]) for x in cuts[:-1]], [PACKED] * len(data), data)
+
         for batch in batches:
-            texts = utf8(batch.column(0))
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
             for a, b in chunks(texts):
-                lines = Lines(texts[a:b], rarity)
-                classes = lines.classes()
+                spread += 1
+                lines = Lines(texts[a:b], levels.value)
+                ref, tail = lines.classes()
+                record = np.zeros(len(ref), _RECORD)
+                record["doc_id"], record["line"], record["ref"], record["tail"] = ids[a:b][lines.doc], lines.number, ref, tail
+                yield packed([spread % slots], [PLACE], [record[lines.size >= least].tobytes()])
                 # Up to three words, only equal sets are similar.
                 able = lines.size >= max(least, 4)
-                keys = [c.tobytes() for c in classes]
+                keys = record[["ref", "tail"]].astype([("ref", "<i8"), ("tail", "<i4")]).view("V12").tolist()
                 for i in np.flatnonzero(able):
                     if keys[i] in sent:
                         able[i] = False
@@ -122,153 +189,200 @@ def _postings(counts, least: int, t: float):
                 if len(sent) > REMEMBERED:
                     sent.clear()
                 place = np.arange(len(lines.words)) - lines.first[lines.line]
-                use = np.flatnonzero(able[lines.line] & (place < prefix_length(lines.size, t)[lines.line]))
-                bits = np.zeros(len(lines.doc), np.uint64)
-                np.bitwise_or.at(bits, lines.line, np.uint64(1) << (mix(lines.words) >> np.uint64(58)))
-                of = lines.line[use]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.words[use].view(np.int64)), pa.array(lines.size[of].astype(np.int64) << 32 | place[use]), pa.array(bits[of].view(np.int64)), _binary(classes[of])],
-                    names=["word", "size_place", "bits", "class"],
-                )
+                use = able[lines.line] & (place < prefix_length(lines.size, t)[lines.line])
+                of, words = lines.line[use], lines.words[use]
+                rows = [word_key(words, slots), ref[of], *(part[of] for part in lines.parity()), lines.size[of], place[use]]
+                hot = (levels.value[(words & np.uint64(COUNTERS - 1)).astype(np.int64)] >= hot_level) | (rows[4] > 0xFFFF)
+                if hot.any():
+                    yield packed([spread % slots], [POSTING], [np.stack([c[hot].astype(np.uint64).view(np.int64) for c in rows]).tobytes()])
+                held.append([c[~hot] for c in rows])
+                if sum(len(h[0]) for h in held) > GATHERED:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     return run
 
 
-def _candidates(t: float):
-    """Reads postings by word and size. Gives pairs that pass the length, position and bitmap filters, or, of dense groups, their members."""
-
-    def judge(word, packed, bits, cls) -> pa.RecordBatch:
-        size, place = packed >> 32, packed & 0xFFFFFFFF
-        n = len(word)
-        left, right = [], []
-        active = np.arange(n)
-        k = 0
-        while True:
-            k += 1
-            active = active[active + k < n]
-            j = active + k
-            near = (word[active] == word[j]) & (size[active] >= t * size[j] - 1e-9)
-            active, j = active[near], j[near]
-            if not len(active):
-                break
-            need = overlap_needed(size[active], size[j], t)
-            differ = size[active] + size[j] - 2 * need
-            ok = np.bitwise_count(bits[active] ^ bits[j]) <= differ
-            i, j = active[ok], j[ok]
-            # A pair counts at its rarest common word alone, so all it shares lies from there on in both.
-            rest = np.minimum(size[i] - place[i], size[j] - place[j])
-            ok = (rest >= need[ok]) & (cls[i] != cls[j])
-            left.append(i[ok])
-            right.append(j[ok])
-        left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        group = np.cumsum(np.concatenate([[0], (word[1:] != word[:-1]).astype(np.int64)])) if n else np.zeros(0, np.int64)
-        dense = np.bincount(group[left], minlength=n + 1) > SPARSE * np.bincount(group, minlength=n + 1)
+def _alike(word, size, place, parity, rest, ref, t: float, side=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of postings of a word that pass the length, position and parity filters; they come by word and size. side: pairs of one side are left out."""
+    left, right = [], []
+    active = np.arange(len(word))
+    k = 0
+    while True:
+        k += 1
+        active = active[active + k < len(word)]
+        j = active + k
+        near = (word[active] == word[j]) & (size[active] >= t * size[j] - 1e-9)
+        active, j = active[near], j[near]
+        if not len(active):
+            break
+        need = overlap_needed(size[active], size[j], t)
+        # A pair counts at its rarest common word alone, so all it shares lies from there on in both.
+        ok = (np.minimum(size[active] - place[active], size[j] - place[j]) >= need) & (np.bitwise_count(parity[active] ^ parity[j]) + np.bitwise_count(rest[active] ^ rest[j]) <= size[active] + size[j] - 2 * need)
+        i, j = active[ok], j[ok]
+        ok = ref[i] != ref[j]
+        if side is not None:
+            ok &= side[i] != side[j]
+        left.append(i[ok])
+        right.append(j[ok])
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+
+
+def _mixed(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    n = len(columns[0])
+    full = [pa.array(np.ascontiguousarray(c).astype(np.int64, copy=False)) for c in columns] + [pa.nulls(n, pa.int64())] * (6 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *full], names=["kind", "x1", "x2", "x3", "x4", "x5", "x6"])
+
+
+def _candidates(sparse: int, t: float):
+    """Reads packed rows by slot. Gives places and postings of frequent words as they are, and pairs of postings or, of dense groups, their members."""
+
+    def judge(slot: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        code, ref, parity, rest, size, place = (np.concatenate(x) for x in zip(*map(_unpack, data), strict=True))
+        order = np.argsort(code << np.uint64(16) | size)
+        code, ref, parity, rest = code[order], ref[order], parity[order], rest[order]
+        size, place = size[order].astype(np.int64), place[order].astype(np.int64)
+        left, right = _alike(code, size, place, parity, rest, ref, t)
+        group = np.cumsum(np.concatenate([[0], (code[1:] != code[:-1]).astype(np.int64)]))
+        dense = np.bincount(group[left], minlength=len(code)) > sparse * np.bincount(group, minlength=len(code))
+        word = code.astype(np.int64) | slot << 32
         pairs = ~dense[group[left]]
         a, b = left[pairs], right[pairs]
+        a, b = np.where(ref[a] < ref[b], (a, b), (b, a))
+        yield _mixed(PAIR, word[a], ref[a], ref[b], size[a], size[b])
         alone = np.unique(np.concatenate([left[~pairs], right[~pairs]]))
-        raw = cls.view(np.uint8).reshape(n, 12) if n else np.zeros((0, 12), np.uint8)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([word[a], word[alone]])), pa.concat_arrays([_binary(raw[a]), _binary(raw[alone])]),
-                pa.concat_arrays([_binary(raw[b]), pa.nulls(len(alone), pa.binary())]),
-            ],
-            names=["word", "a", "b"],
-        )
+        yield _mixed(DENSE, word[alone], ref[alone], size[alone])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        now, data = None, []
         for batch in batches:
-            cls = np.frombuffer(b"".join(batch.column(3).to_pylist()), "V12")
-            new = [*(batch.column(k).to_numpy() for k in range(3)), cls]
-            new[2] = new[2].view(np.uint64)
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last word's group may go on
-            if cut:
-                yield judge(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if held is not None:
-            yield judge(*held)
+            for slot, kind, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if kind == PLACE:
+                    record = np.frombuffer(raw, _RECORD)
+                    yield _mixed(PLACE, *(record[f] for f in _RECORD.names))
+                elif kind == POSTING:
+                    yield _mixed(POSTING, *np.frombuffer(raw, np.int64).reshape(6, -1))
+                else:
+                    if slot != now and data:
+                        yield from judge(now, data)
+                        data = []
+                    now = slot
+                    data.append(raw)
+        if data:
+            yield from judge(now, data)
 
     return run
 
 
-def _sets(wanted, counts, least: int):
-    """The ordered sets of the wanted classes."""
+def _hot_members(t: float):
+    """Of two blocks of a frequent word's postings, or of one, the members of pairs that pass the filters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep, rarity = wanted.value if wanted is not None else None, counts.value
         for batch in batches:
-            texts = utf8(batch.column(0))
-            for a, b in chunks(texts):
-                lines = Lines(texts[a:b], rarity)
-                keys, out = [c.tobytes() for c in lines.classes()], {}
-                for i, key in enumerate(keys):
-                    if lines.size[i] >= max(least, 4) and (keep is None or key in keep):
-                        out[key] = lines.words[lines.first[i] : lines.first[i + 1]].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], names=["class", "words"])
+            for word, own, other, rows in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                rows.sort(key=lambda r: r["size"])
+                ref, parity, rest, size, place = (np.array([r[c] for r in rows], np.int64) for c in ("ref", "parity", "rest", "size", "place"))
+                side = None if own == other else np.array([r["block"] == own for r in rows])
+                pairs = _alike(np.zeros(len(rows)), size, place, parity.view(np.uint64), rest.view(np.uint64), ref, t, side)
+                found = np.unique(np.concatenate(pairs))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), word)), pa.array(ref[found]), pa.array(size[found])], names=["word", "ref", "size"])
 
     return run
 
 
-def _place(found: list[tuple], names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*found, strict=True)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=names)
-
-
-_LINKS = "class binary, n_links long, doc_id long, line int"
-_LINK_NAMES = ["class", "n_links", "doc_id", "line"]
-
-
-def _verify_pairs(t: float):
-    """Counts a pair if it is similar and ``word`` is the rarest both have, so that it counts once."""
+def _sets(levels):
+    """The ordered sets of some lines of texts, ``doc_id, text, lines``, for each meeting that a line's class attends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for word, x, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                a, b = np.frombuffer(x["words"], np.uint64), np.frombuffer(y["words"], np.uint64)
-                both = np.isin(a, b)
-                if both.sum() >= overlap_needed(len(a), len(b), t) and a[both.argmax()] == np.uint64(word & (1 << 64) - 1):
-                    found.append((x["class"], 1, y["doc_id"], y["line"]))
-                    found.append((y["class"], 1, x["doc_id"], x["line"]))
-            yield _place(found, _LINK_NAMES)
+            ids, texts, wanted = batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()
+            for a, b in chunks(texts):
+                lines, out = Lines(texts[a:b], levels.value), []
+                ref, tail = lines.classes()
+                base = np.searchsorted(lines.doc, np.arange(b - a + 1))
+                for i, own in enumerate(wanted[a:b]):
+                    for w in own:
+                        k = base[i] + w["line"]
+                        # A repeated row of a document may hold another text.
+                        if k < base[i + 1] and (ref[k], tail[k]) == (w["ref"], w["tail"]):
+                            held = (w["ref"], w["tail"], ids[a + i], w["line"], lines.words[lines.first[k] : lines.first[k + 1]].tobytes())
+                            out += [(*(m[c] for c in _MEETING), m["block"], m["by"], *held) for m in w["meetings"]]
+                columns = list(zip(*out, strict=True)) or [[]] * len(_ATTENDS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _ATTENDS.values(), strict=True)], names=list(_ATTENDS))
 
     return run
 
 
-def _verify_blocks(t: float):
-    """The same for all pairs of two blocks of one word's group, by products of their incidence matrices."""
+_MEETING = ["dense", "word", "own", "other"]
+_ATTENDS = {
+    "dense": pa.bool_(), "word": pa.int64(), "own": pa.int64(), "other": pa.int64(), "block": pa.int64(), "by": pa.list_(pa.int64()),
+    "ref": pa.int64(), "tail": pa.int32(), "doc_id": pa.int64(), "line": pa.int32(), "words": pa.binary(),
+}
+_ATTENDS_SCHEMA = "dense boolean, word long, own long, other long, block long, by array<long>, ref long, tail int, doc_id long, line int, words binary"
+_LINKS = "ref long, tail int, n_links long, doc_id long, line int"
+
+
+def _links(found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) or [[]] * 5
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _LINKS.split(", ")])
+
+
+def _verified_pairs(rows: list[dict], pairs: list[dict], slots: int, t: float) -> Iterator[tuple]:
+    """Counts a pair if it is similar and the rarest word that both have is one that it was found by as a pair."""
+    sets: dict[int, list] = defaultdict(list)
+    for r in rows:
+        sets[r["ref"]].append((np.frombuffer(r["words"], np.uint64), r))
+    for pair in pairs:
+        for a, x in sets[pair["a"]]:
+            for b, y in sets[pair["b"]]:
+                both = a[np.isin(a, b)]
+                if len(both) >= overlap_needed(len(a), len(b), t) and int(word_key(both[:1], slots)[0]) in pair["words"]:
+                    yield x["ref"], x["tail"], 1, y["doc_id"], y["line"]
+                    yield y["ref"], y["tail"], 1, x["doc_id"], x["line"]
+
+
+def _verified_blocks(word: int, left: list[dict], right: list[dict] | None, slots: int, t: float) -> Iterator[tuple]:
+    """Counts the similar pairs of two blocks of one word's group, or of one, that have no rarer word in common."""
+    rows = left + (right or [])
+    sets = [np.frombuffer(r["words"], np.uint64) for r in rows]
+    rarer = [s[: int((word_key(s, slots) == word).argmax())] for s in sets]
+    k = 0 if right is None else len(left)
+    size = np.array([len(s) for s in sets])
+    links = common_counts(sets[: len(left)], sets[k:]) >= overlap_needed(size[: len(left), None], size[None, k:], t)
+    links &= common_counts(rarer[: len(left)], rarer[k:]) == 0
+    if right is None:
+        np.fill_diagonal(links, False)
+    ranks = [(r["doc_id"], r["line"]) for r in rows]
+    for own, others, hits in ((0, k, links), *(() if right is None else ((k, 0, links.T),))):
+        for i in np.flatnonzero(hits.any(1)):
+            yield rows[own + i]["ref"], rows[own + i]["tail"], int(hits[i].sum()), *min(ranks[others + j] for j in np.flatnonzero(hits[i]))
+
+
+def _verify(slots: int, t: float):
+    """Links by whole sets, of the listed pairs of a meeting, or of all its pairs where none are listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for word, same, left, right in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                word, found = np.uint64(word & (1 << 64) - 1), []
-                rows = left if same else left + right
-                sets = [np.frombuffer(r["words"], np.uint64) for r in rows]
-                _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-                of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                before = np.concatenate([np.arange(len(s)) < int((s == word).argmax()) for s in sets])
-                full = np.zeros((len(sets), int(ids.max()) + 1), np.float32)
-                rarer = full.copy()
-                full[of, ids] = 1
-                rarer[of[before], ids[before]] = 1
-                k = 0 if same else len(left)
-                size = full.sum(1)
-                common = full[: len(left)] @ full[k:].T
-                links = (common >= overlap_needed(size[: len(left), None], size[None, k:], t)) & (rarer[: len(left)] @ rarer[k:].T == 0)
-                if same:
-                    np.fill_diagonal(links, False)
-                ranks = [(r["doc_id"], r["line"]) for r in rows]
-                for own, others, hits in ((0, k, links), *(() if same else ((k, 0, links.T),))):
-                    for i, row in enumerate(hits):
-                        if row.any():
-                            found.append((rows[own + i]["class"], int(row.sum()), *min(ranks[others + j] for j in np.flatnonzero(row))))
-                yield _place(found, _LINK_NAMES)
+            for own, other, rows, pairs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                # A repeated row of a document gives a class's set again.
+                rows = list({(r["ref"], r["tail"]): r for r in rows}.values())
+                if pairs is not None:
+                    yield _links([*_verified_pairs(rows, pairs, slots, t)])
+                    continue
+                by_word: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+                for r in rows:
+                    for word in r["by"]:
+                        by_word[word][r["block"] != own].append(r)
+                for word, (left, right) in by_word.items():
+                    if own == other or left and right:
+                        yield _links([*_verified_blocks(word, left, None if own == other else right, slots, t)])
 
     return run
 
 
-def similar_lines(docs: DataFrame, t: float = 0.8, least: int = 3) -> DataFrame:
+def similar_lines(docs: DataFrame, t: float = 0.8, least: int = 3, limits: Limits = Limits()) -> DataFrame:
     """``doc_id, line, first_doc_id, first_line, n_links, removed`` of each line that has an equal or a similar one.
 
     A line's set is its distinct words (split at ASCII white space and punctuation,
@@ -276,73 +390,124 @@ def similar_lines(docs: DataFrame, t: float = 0.8, least: int = 3) -> DataFrame:
     sets form a class, whose first place in (doc_id, line) order is given; n_links
     counts the other classes with a Jaccard similarity of ``t``. A line is removed
     if an earlier line is equal or similar. The join is exact: words are ordered by
-    rarity, classes that share a prefix word pass length, position and bitmap
-    filters, and whole sets decide. A word's sparse groups give pairs, dense ones
-    are split into blocks that meet two at a time; only counts and earliest partners
-    leave the blocks. Null and empty texts have no lines; repeated rows of a doc_id
-    are at the same places and don't remove each other; an empty table gives no
-    rows; other columns are not read.
+    rarity, classes that share a prefix word pass length, position and parity
+    filters, and whole sets decide. Postings are packed into slots of bounded size;
+    those of words that are frequent in the corpus are counted first and meet in
+    blocks. A word's sparse groups give pairs; of dense ones only counts and earliest
+    partners leave the blocks that compare them. Null and empty texts have no lines; repeated
+    rows of a doc_id are at the same places and don't remove each other (with different
+    texts, a place has several lines, and goes if one of them does); rows without a doc_id
+    are left out; an empty table gives no rows; other columns are not read. A text takes
+    about 100 bytes a word while it is read.
     """
     spark = docs.sparkSession
-    texts = docs.select("text")
-    lines = stage_table(docs.select("doc_id", "text").mapInArrow(_places(least), "doc_id long, line int, class binary"))
-    classes = stage_table(
-        lines.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n_rows"))
-        .select("class", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"), "n_rows")
-    )
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     table = np.zeros(COUNTERS, np.int64)
-    for r in texts.mapInArrow(_count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
+    for r in given.select("text").mapInArrow(_count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
         table[r["counter"]] = r["n"]
-    counts = spark.sparkContext.broadcast(table)
-    found = stage_table(
-        texts.mapInArrow(_postings(counts, least, t), "word long, size_place long, bits long, class binary")
-        .repartition("word").sortWithinPartitions("word", "size_place", "class")
-        .mapInArrow(_candidates(t), "word long, a binary, b binary").distinct()
+    level = lambda n: np.minimum(511, np.round(8 * np.log2(np.maximum(n, 1)))).astype(np.uint16)
+    levels = spark.sparkContext.broadcast(level(table))
+    slots = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(table.sum() / 4 / limits.slot))
+    mixed = stage_table(
+        given.mapInArrow(_scatter(levels, int(level(limits.hot)), slots, least, t), "slot int, kind int, data binary")
+        .repartition("slot").sortWithinPartitions("slot").mapInArrow(_candidates(limits.sparse, t), _MIXED), by="kind"
+    )
+    lines = mixed.where(f"kind = {PLACE}").select(F.col("x1").alias("doc_id"), F.col("x2").cast("int").alias("line"), F.col("x3").alias("ref"), F.col("x4").cast("int").alias("tail"))
+    classes = stage_table(
+        lines.groupBy("ref", "tail").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n_rows"))
+        .select("ref", "tail", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"), "n_rows")
+    )
+    links = stage_table(
+        _verified(mixed, classes, given, levels, slots, t, limits).groupBy("ref", "tail")
+        .agg(F.sum("n_links").alias("n_links"), F.min(F.struct("doc_id", "line")).alias("partner"))
     )
-    links = stage_table(_verified(found, classes, texts, counts, least, t).groupBy("class").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("doc_id", "line")).alias("partner")))
     info = stage_table(
-        classes.join(links, "class", "left").where("n_rows > 1 or n_links is not null")
-        .select("class", "first_doc_id", "first_line", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.expr("coalesce(partner < struct(first_doc_id as doc_id, first_line as line), false)").alias("later"), "n_rows")
+        classes.join(links, ["ref", "tail"], "left").where("n_rows > 1 or n_links is not null")
+        .select("ref", F.col("tail").alias("own_tail"), "first_doc_id", "first_line", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.expr("coalesce(partner < struct(first_doc_id as doc_id, first_line as line), false)").alias("later"), "n_rows")
     )
-    return join_hot(lines, info, "class").select(
+    drop_stage(classes)
+    drop_stage(links)
+    return join_hot(lines, info, "ref").where("tail = own_tail").select(
         "doc_id", "line", "first_doc_id", "first_line", "n_links", F.expr("later or doc_id <> first_doc_id or line <> first_line").alias("removed")
     ).distinct()
 
 
-def _verified(found: DataFrame, classes: DataFrame, texts: DataFrame, counts, least: int, t: float) -> DataFrame:
-    spark = found.sparkSession
-    ends = stage_table(found.select(F.explode(F.array("a", "b")).alias("class")).where("class is not null").groupBy("class").agg(F.count("*").alias("n_rows")))
-    few = ends.count() <= MOST_BROADCAST
-    wanted = spark.sparkContext.broadcast({bytes(r[0]) for r in ends.select("class").toLocalIterator()}) if few else None
-    sets = texts.mapInArrow(_sets(wanted, counts, least), "class binary, words binary")
-    if not few:
-        sets = sets.join(ends.select("class"), "class", "left_semi")
-    sets = stage_table(
-        sets.dropDuplicates(["class"]).join(classes.select("class", F.col("first_doc_id").alias("doc_id"), F.col("first_line").alias("line")), "class")
-        .join(ends, "class").select("class", F.struct("class", "words", "doc_id", "line").alias("set"), "n_rows")
+def _verified(mixed: DataFrame, classes: DataFrame, texts: DataFrame, levels, slots: int, t: float, limits: Limits) -> DataFrame:
+    """Links of classes by their whole sets, each pair once: by the rarest word it shares.
+
+    A pair is verified in the group of the smallest class that its first end was found
+    with, and a dense word's group in that of its smallest class, with the other words
+    of which that is so: a set goes to few groups, whatever the number of its pairs and words.
+    """
+    kind = lambda k, *names: mixed.where(f"kind = {k}").select(*(F.col(f"x{i}").alias(c) for i, c in enumerate(names, 1)))
+    close = f"l.hi >= {t} * r.lo - 1e-9"
+    heads = lambda rows: rows.groupBy("word", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    postings = stage_table(kind(POSTING, "word", "ref", "parity", "rest", "size", "place").distinct())
+    hot = stage_table(blocks_by_size(postings, "word", "ref", F.lit(1), limits.postings))
+    hot = attend(hot, meetings(heads(hot), "word", close), "word").groupBy("word", "own", "other").agg(F.collect_list(F.struct("block", "ref", "parity", "rest", "size", "place")).alias("rows"))
+    found = hot.mapInArrow(_hot_members(t), "word long, ref long, size long")
+    weight = F.greatest(8 * F.col("size"), F.lit(limits.set_bytes // limits.sets))
+    dense = stage_table(kind(DENSE, "word", "ref", "size").unionByName(found).distinct())
+    smallest = stage_table(dense.groupBy("word").agg(F.min("ref").alias("least"), F.count("*").alias("n_rows")))
+    dense = stage_table(join_hot(dense, smallest, "word").groupBy(F.col("least").alias("word"), "ref", "size").agg(F.collect_list("word").alias("by")))
+    dense = stage_table(blocks_by_size(dense, "word", "ref", weight, limits.set_bytes))
+    dense_meetings = meetings(heads(dense), "word", close)
+
+    pairs = stage_table(kind(PAIR, "word", "a", "b", "size_a", "size_b").groupBy("a", "b", "size_a", "size_b").agg(F.collect_set("word").alias("words")))
+    least_of = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("least"))
+    keyed = stage_table(pairs.join(least_of, "a", "left").withColumn("word", F.coalesce("least", "a")).drop("least"))
+    ends = keyed.select("word", F.explode(F.array(F.struct(F.col("a").alias("ref"), F.col("size_a").alias("size")), F.struct(F.col("b").alias("ref"), F.col("size_b").alias("size")))).alias("end")).select("word", "end.*").distinct()
+    spread = stage_table(ends.groupBy("word").agg(F.ceil(F.sum(weight) / limits.set_bytes).cast("long").alias("n")))
+    block = lambda c: F.pmod(F.xxhash64(c), "n")
+    listed = stage_table(
+        keyed.join(spread, "word").withColumns({"x": block("a"), "y": block("b")})
+        .groupBy("word", F.least("x", "y").alias("own"), F.greatest("x", "y").alias("other")).agg(F.collect_list(F.struct("a", "b", "words")).alias("pairs"))
+    )
+    end_rows = ends.join(spread, "word").select("word", "ref", block("ref").alias("block"), F.array().cast("array<long>").alias("by"))
+
+    at = lambda rows, of, flag: attend(rows, of, "word").select("ref", F.struct(F.lit(flag).alias("dense"), "word", "own", "other", "block", "by").alias("at"))
+    members = at(end_rows, listed, False).unionByName(at(dense, dense_meetings, True))
+    by_ref = stage_table(members.groupBy("ref").agg(F.collect_list("at").alias("meetings")))
+    wanted = classes.join(by_ref, "ref").groupBy(F.col("first_doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first_line").alias("line"), "ref", "tail", "meetings")).alias("lines"))
+    few = (by_ref.agg(F.sum(F.size("meetings") + F.aggregate("meetings", F.lit(0), lambda n, m: n + F.size(m["by"])))).first()[0] or 0) <= MOST_BROADCAST
+    rows = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "lines").mapInArrow(_sets(levels), _ATTENDS_SCHEMA)
+    return (
+        rows.groupBy(*_MEETING).agg(F.collect_list(F.struct("block", "by", "ref", "tail", "doc_id", "line", "words")).alias("rows"))
+        .join(listed.withColumn("dense", F.lit(False)), _MEETING, "left")
+        .select("own", "other", "rows", "pairs").mapInArrow(_verify(slots, t), _LINKS)
     )
-    end = lambda rows, name, to: join_hot(rows.withColumnRenamed(name, "class"), sets, "class").drop("class").withColumnRenamed("set", to)
-    pairs = end(end(found.where("b is not null"), "a", "x"), "b", "y").select("word", "x", "y").mapInArrow(_verify_pairs(t), _LINKS)
-    dense = found.where("b is null").drop("b")
-    blocks = dense.groupBy("word").agg(F.count("*").alias("n_rows")).withColumn("n_blocks", F.ceil(F.col("n_rows") / BLOCK).cast("int"))
-    blocked = join_hot(dense, stage_table(blocks), "word").withColumn("block", F.pmod(F.xxhash64("a", "word"), "n_blocks"))
-    held = stage_table(end(blocked, "a", "set").groupBy("word", "block").agg(F.collect_list("set").alias("sets")))
-    meet = held.alias("l").join(held.alias("r"), F.expr("l.word = r.word and l.block <= r.block"))
-    return pairs.unionByName(meet.selectExpr("l.word", "l.block = r.block as same", "l.sets as left", "r.sets as right").mapInArrow(_verify_blocks(t), _LINKS))
+
+
+def _without_lines(names: list[str]):
+    """Texts, in a column ``text``, without the lines whose numbers the last column lists, and their ``n_chars``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(names, batch.columns, strict=False))
+            texts, gone = columns["text"].to_pylist(), batch.columns[-1].to_pylist()
+            keep = np.ones(len(texts), bool)
+            for i, lines in enumerate(gone):
+                if lines is not None:
+                    out = set(lines)
+                    texts[i] = "\n".join(x for k, x in enumerate((texts[i] or "").split("\n")) if k not in out)
+                    keep[i] = bool(texts[i].strip(" \t\n\x0b\f\r"))
+            columns["text"] = pa.array(texts, columns["text"].type)
+            if "n_chars" in columns:
+                before = columns["n_chars"].to_pylist()
+                columns["n_chars"] = pa.array([n if lines is None else len(x) for n, x, lines in zip(before, texts, gone, strict=True)], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names).filter(pa.array(keep))
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` without the removed lines of ``found``: new ``text`` and ``n_chars``, all other columns as they were.
+    """``docs`` without the removed lines of ``found``: new ``text`` and, where lines went, ``n_chars``; all other columns and rows as they were.
 
-    A document loses its row only if it had lines and all that hold words are removed.
+    A document loses its row only if it had lines and all that hold more than white space are removed.
     """
-    gone = found.where("removed").groupBy("doc_id").agg(F.collect_set("line").alias("gone_lines"))
-    kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(gone_lines, i)), '\\n')")
-    out = docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(kept))
-    out = out.where(F.col("gone_lines").isNull() | F.col("text").rlike(r"\S")).drop("gone_lines")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return out.select(*docs.columns)
+    key = next(name for k in range(len(docs.columns) + 1) if (name := f"gone{k}") not in docs.columns)
+    gone = found.where("removed").groupBy("doc_id").agg(F.collect_set("line").alias(key))
+    return docs.join(gone, "doc_id", "left").select(*docs.columns, key).mapInArrow(_without_lines(docs.columns), docs.schema)
 
 
 def op4_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
