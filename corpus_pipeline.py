@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rolecall.llm import decontaminate, line_join, near_dup, packing, quality
 from rolecall.staging import stage_table
@@ -19,10 +18,9 @@ NEAR = near_dup.Settings(words=5, similarity=(80, 100), rows=4, bands=28)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject. Trained on the labelled ones among ``docs``."""
+    """Documents that the quality classifier doesn't reject, whole; without labels of both kinds it rejects none. Trained on the labelled ones among ``docs``."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs, model, *(c for c in docs.columns if c not in ("doc_id", "score")))
-    return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.kept(docs, model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first, of each group of near duplicates."""
+    """One document, the first, of each group of near duplicates; repeated rows of that doc_id stay together."""
     found = near_dup.near_duplicates(docs, NEAR)
     gone = found.where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
