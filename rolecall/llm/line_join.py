@@ -18,6 +18,8 @@ from rolecall.staging import drop_stage, stage_table
 
 #: Counters of word frequency. Rarity only orders the words, so words that share a counter cost time, not results.
 COUNTERS = 1 << 17
+#: Words of a line from which a group's sets are compared pair by pair, as each has so many prefix words.
+LONG = 4096
 #: Classes a task remembers so as to send a repeated line's prefix once, and postings it gathers before it sends them.
 REMEMBERED = 1 << 18
 GATHERED = 1 << 19
@@ -360,6 +362,21 @@ def _verified_blocks(word: int, left: list[dict], right: list[dict] | None, slot
             yield rows[own + i]["ref"], rows[own + i]["tail"], int(hits[i].sum()), *min(ranks[others + j] for j in np.flatnonzero(hits[i]))
 
 
+def _verified_singly(rows: list[dict], within: bool, slots: int, t: float) -> Iterator[tuple]:
+    """The same for long lines, pair by pair: a similar pair's rarest common word is in both prefixes."""
+    held = [(np.frombuffer(r["words"], np.uint64), set(r["by"]), r) for r in rows]
+    heads = [a[: int(prefix_length(len(a), t))] for a, _, _ in held]
+    for i, (a, by, x) in enumerate(held):
+        for j in range(i + 1, len(held)):
+            b, also, y = held[j]
+            if not within and x["block"] == y["block"] or min(len(a), len(b)) < t * max(len(a), len(b)) - 1e-9:
+                continue
+            common = heads[i][np.isin(heads[i], heads[j])][:1]
+            if len(common) and int(word_key(common, slots)[0]) in by & also and len(np.intersect1d(a, b, assume_unique=True)) >= overlap_needed(len(a), len(b), t):
+                yield x["ref"], x["tail"], 1, y["doc_id"], y["line"]
+                yield y["ref"], y["tail"], 1, x["doc_id"], x["line"]
+
+
 def _verify(slots: int, t: float):
     """Links by whole sets, of the listed pairs of a meeting, or of all its pairs where none are listed."""
 
@@ -371,6 +388,9 @@ def _verify(slots: int, t: float):
                 if pairs is not None:
                     yield _links([*_verified_pairs(rows, pairs, slots, t)])
                     continue
+                if any(len(r["words"]) > 8 * LONG for r in rows):
+                    yield _links([*_verified_singly(rows, own == other, slots, t)])
+                    continue
                 by_word: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
                 for r in rows:
                     for word in r["by"]:
