@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolecall.llm import decontaminate, fingerprint, line_hash, line_join, near_dup, packing, privacy, quality, toxicity, url_filter
+from rolecall.llm import decontaminate, filter_audit, fingerprint, line_hash, line_join, near_dup, packing, prefix_trie, privacy, quality, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dup": near_dup.op8_near_dup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_privacy": privacy.op10_privacy,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_warc": warc.op13_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.OP2_SQL, "op7_line_hash": line_hash.OP7_SQL, "op8_near_dup": near_dup.OP8_SQL}
+    return {
+        "op2_url_filter": url_filter.OP2_SQL, "op7_line_hash": line_hash.OP7_SQL, "op8_near_dup": near_dup.OP8_SQL,
+        "op11_prefix_trie": prefix_trie.OP11_SQL, "op12_filter_audit": filter_audit.OP12_SQL, "op13_warc": warc.OP13_SQL,
+    }
