@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +21,12 @@ REGION_PATTERNS = (
     ("canada", r"(?i)\b(canada|toronto|vancouver|montreal|ottawa|waterloo)\b"),
     ("latam", r"(?i)\b(brazil|(?<!new\s)mexico|argentina|colombia|chile|latam)\b"),
 )
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+#: The entities of nearly all markup, looked up before the whole table of HTML 5, which Python brings.
+_COMMON = {name: html5[name] for name in ("amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;")}
+#: Names that count without a semicolon too, longest first, as the longest wins.
+_BARE = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+#: Numbers that mean a sign of Windows-1252, where it has one.
+_WINDOWS = {str(c): bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)}
 
 REGIONS = "array<string>"
 
@@ -28,11 +36,38 @@ def text(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _table(entries: dict[str, str]) -> Column:
+    """A map of fixed text, as one literal."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
+def _numbered(reference: Column) -> Column:
+    """The character of ``#8217;`` or ``#x2019;``; U+FFFD for one that can't be, nothing for a control character."""
+    digits = F.regexp_extract(reference, "^#[xX]?0*([0-9A-Fa-f]*)", 1)
+    code = F.when(digits == "", 0).when(F.length(digits) > 8, 1 << 21).when(reference.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("bigint")).otherwise(digits.try_cast("bigint"))
+    small = F.least(code, F.lit(1 << 21)).cast("int")
+    none = small.between(1, 8) | (small == 11) | small.between(14, 31) | (small == 127) | small.between(0xFDD0, 0xFDEF) | (small.bitwiseAND(0xFFFE) == 0xFFFE)
+    return (
+        F.when((small == 0) | small.between(0xD800, 0xDFFF) | (small > 0x10FFFF), "\ufffd").when(small.between(0x80, 0x9F), F.element_at(_table(_WINDOWS), small.cast("string")))
+        .when(none, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(small), 8, "0")), "UTF-32"))
+    )
+
+
+def _resolved(piece: Column) -> Column:
+    """What follows an ampersand, with the reference at its start resolved if there is one."""
+    number, name, bare = (F.regexp_extract(piece, pattern, 0) for pattern in (r"^#([xX][0-9A-Fa-f]+|[0-9]+);?", "^[A-Za-z][A-Za-z0-9]{0,30};", _BARE))
+    rest = lambda start: F.substr(piece, F.length(start) + 1)
+    common, sign = F.try_element_at(_table(_COMMON), name), F.try_element_at(_table(html5), name)
+    return (
+        F.when(number != "", F.concat(_numbered(number), rest(number))).when(common.isNotNull(), F.concat(common, rest(name))).when((name != "") & sign.isNotNull(), F.concat(sign, rest(name)))
+        .when(bare != "", F.concat(F.element_at(_table(html5), bare), rest(bare))).otherwise(F.concat(F.lit("&"), piece))
+    )
+
+
 def unescape(html: Column) -> Column:
-    """Resolves the common character entities, ``&amp;`` last, so one level at a time."""
-    for name, sign in _ENTITIES:
-        html = F.replace(html, F.lit(name), F.lit(sign))
-    return html
+    """Resolves the character references of HTML 5, one level at a time: by number, by name, and the old names without a semicolon."""
+    pieces = F.split(html, "&")
+    return F.when(html.contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _resolved), ""))).otherwise(html)
 
 
 def html_to_text(html: Column, escaped: bool = True, by: str = "\n") -> Column:
@@ -42,14 +77,20 @@ def html_to_text(html: Column, escaped: bool = True, by: str = "\n") -> Column:
     return text(F.regexp_replace(F.array_join(F.filter(parts, lambda x: x != ""), by), r"\n{3,}", "\n\n"))
 
 
+def utc(instant: Column) -> Column:
+    """An instant as the time in UTC, whatever zone the session has."""
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.unix_micros(instant).cast("decimal(18,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(18,6)"))
+
+
 def parse_iso(value: Column) -> Column:
-    """An ISO 8601 date or time, as UTC without a zone; null if it isn't one."""
-    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), value.try_cast("timestamp")).cast("timestamp_ntz")
+    """An ISO 8601 date or time, as UTC without a zone; one that names no zone is in UTC. Null if it isn't one."""
+    zoned = value.rlike(r"(?i)[T ]\d{1,2}:.*(Z|UTC|GMT|[+-]\d{1,2}(:?\d{2})?)\s*$")
+    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), F.when(zoned, utc(value.try_cast("timestamp"))).otherwise(value.try_cast("timestamp_ntz")))
 
 
 def seconds(value: Column) -> Column:
     """Seconds since 1970 as a time; 0 counts as absent."""
-    return F.when(value != 0, F.timestamp_seconds(value)).cast("timestamp_ntz")
+    return F.when(value != 0, utc(F.timestamp_seconds(value)))
 
 
 def regions_of(*found: tuple[str, Column]) -> Column:

@@ -88,11 +88,11 @@ def _list(*parts: str) -> str:
     return f"coalesce(array_to_string(list_filter([{', '.join(parts)}], lambda x: coalesce(x, '') <> ''), ','), '')"
 
 
-def _register(connector: str, item: Callable[[Column], Column], wrap: Callable[[Column], Column], keep: str = "true", scope: str = "", **sql: str) -> None:
+def _register(connector: str, item: Callable[[Column], Column], wrap: Callable[[Column], Column], keep: str = "true", scope: str = "", read: Callable = boards.read, **sql: str) -> None:
     """A query ``src_<connector>`` of the planted boards, and its SQL by column; a column that isn't named is null, or no tags."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _rows(boards.read(planted(spark, sf_dir, connector, item, wrap, scope), connector, AS_OF))
+        return _rows(read(planted(spark, sf_dir, connector, item, wrap, scope), connector, AS_OF))
 
     QUERIES[f"src_{connector}"] = query
     full = {"tags": "''", "title": _T, "company": "slug", "posted_at": "CAST(NULL AS TIMESTAMP)", "min_yoe_hint": "CAST(NULL AS INT)"} | sql

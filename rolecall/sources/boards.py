@@ -75,13 +75,20 @@ LATERAL_RANKS = ("Associate", "Vice President", "Managing Director")
 
 
 class Source(NamedTuple):
-    """``payload`` is the schema, with the item's in the place of ``%``; ``items`` finds them; ``row`` maps an item, given its response, to fields."""
+    """``payload`` is the schema, with the item's in the place of ``%``; ``items`` finds them; ``row`` maps an item, given its response, to fields.
+
+    ``cut`` takes the payload out of a body that holds more, null if there is none, which
+    is ``without``. ``parse`` reads items that no schema describes.
+    """
 
     payload: str
     item: str
     items: Callable[[Column], Column]
     keep: Callable[[Column], Column]
     row: Callable[[Column], dict[str, Column]]
+    cut: Callable[[Column], Column] | None = None
+    without: str = "failed"
+    parse: Callable[[Column], Column] | None = None
 
 
 def _slug() -> Column:
@@ -401,7 +408,7 @@ def _weworkremotely(i: Column) -> dict[str, Column]:
     return {
         "source_job_id": F.coalesce(text(F.trim(i["guid"])), F.trim(i["link"])), "url": F.trim(i["link"]), "title": F.coalesce(text(role), said), "company": F.coalesce(text(company), F.lit("Remote Employer")),
         "description": p.html_to_text(i["description"]), "location_raw": F.when(region != "", F.concat(F.lit("Remote ("), region, F.lit(")"))).otherwise("Remote"),
-        "tags": F.array(F.lit("remote"), F.lit("programming")), "posted_at": F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss Z")).cast("timestamp_ntz"),
+        "tags": F.array(F.lit("remote"), F.lit("programming")), "posted_at": p.utc(F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss Z"))),
         "hiring_regions_hint": F.when((region == "") | F.lower(region).rlike("anywhere in the world|worldwide"), F.array(F.lit("worldwide"))).otherwise(p.regions_by_words(region, WWR_WORDS)),
         "employment_type_hint": F.lit("full_time"),
     }
@@ -442,47 +449,63 @@ SIMPLIFY_DAYS = 90
 
 def items(connector: str, body: Column) -> Column:
     """The payload's items; null if it can't be parsed or has another shape, empty if it has none."""
-    source = SOURCES[connector]
+    return _items(SOURCES[connector], body, connector in RSS)
+
+
+def _items(source: Source, body: Column, rss: bool = False) -> Column:
+    if source.parse:
+        return source.parse(body)
     kind = source.payload.replace("%", f"array<struct<{source.item}>>")
-    parse = F.from_xml if connector in RSS else F.from_json
-    starts = "<" if connector in RSS else r"\[" if source.payload == "%" else r"\{"
+    parse = F.from_xml if rss else F.from_json
+    starts = "<" if rss else r"\[" if source.payload == "%" else r"\{"
     parsed = parse(body, kind)
     found = source.items(parsed)
-    if connector in RSS:  # without items there is no array
+    if rss:  # without items there is no array
         found = F.when(parsed["channel"].isNotNull(), F.coalesce(found, F.array().cast(f"array<struct<{source.item}>>")))
     return F.when(body.rlike(rf"^\s*{starts}"), found)
 
 
 def status(responses: DataFrame, connector: str) -> DataFrame:
     """The source's responses with ``items`` and ``status``: no_board (404, 410), failed (other codes, or a payload of another shape), empty or ok."""
+    return status_of(responses, connector, SOURCES[connector], connector in RSS)
+
+
+def status_of(responses: DataFrame, connector: str, source: Source, rss: bool = False) -> DataFrame:
+    """As ``status``, of a source that is given."""
     own = responses.where(F.col("connector") == connector)
-    own = own.withColumn("items", items(connector, F.col("body")))
+    cut = source.cut(F.col("body")) if source.cut else F.col("body")
+    own = own.withColumn("cut", cut).withColumn("items", _items(source, F.col("cut"), rss))
     return own.withColumn(
         "status",
-        F.when(F.col("http_code").isin(404, 410), "no_board").when((F.coalesce(F.col("http_code"), F.lit(0)) != 200) | F.col("items").isNull(), "failed")
-        .when(F.exists("items", SOURCES[connector].keep), "ok").otherwise("empty"),
-    )
+        F.when(F.col("http_code").isin(404, 410), "no_board").when((F.coalesce(F.col("http_code"), F.lit(0)) != 200) | F.col("body").isNull(), "failed").when(F.col("cut").isNull(), source.without).when(F.col("items").isNull(), "failed")
+        .when(F.exists("items", source.keep), "ok").otherwise("empty"),
+    ).drop("cut")
 
 
 def read(responses: DataFrame, connector: str, as_of: str) -> DataFrame:
     """Raw postings of one source; ``as_of`` is what relative dates and age limits count from."""
-    source, now = SOURCES[connector], F.lit(as_of).cast("timestamp_ntz")
-    i = F.col("i")
-    rows = status(responses, connector).where("status = 'ok'").select("connector", "scope", "slug", "host", "name", F.explode("items").alias("i")).where(source.keep(i))
+    named = connector in FULL + ("workday", "oracle") and connector not in ("atlassian", "goldman", "simplify", "smartrecruiters")
+    found = read_source(responses, connector, SOURCES[connector], as_of, named, connector in RSS)
+    if connector == "simplify":
+        found = found.where(F.col("posted_at").isNull() | (F.col("posted_at") >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(SIMPLIFY_DAYS))))
+    return found
+
+
+def read_source(responses: DataFrame, connector: str, source: Source, as_of: str, named: bool, rss: bool = False) -> DataFrame:
+    """As ``read``, of a source that is given; ``named``: the registry's name of a scope comes before the item's."""
+    i, now = F.col("i"), F.lit(as_of).cast("timestamp_ntz")
+    rows = status_of(responses, connector, source, rss).where("status = 'ok'").select("connector", "scope", "slug", "host", "name", F.explode("items").alias("i")).where(source.keep(i))
     fields = source.row(i)
     if "posted_on" in fields:
         fields["posted_at"] = parse_relative_posted(fields.pop("posted_on"), now)
     nothing = {"description": "string", "salary_raw": "string", "posted_at": "timestamp_ntz", "min_yoe_hint": "int"}
-    fields = {c: F.lit(None).cast(kind) for c, kind in nothing.items()} | {"company": _slug()} | fields
-    named = F.coalesce(text(F.col("name")), fields["company"]) if connector in FULL + ("workday", "oracle") and connector not in ("atlassian", "goldman", "simplify", "smartrecruiters") else fields["company"]
-    found = rows.select(
+    fields = {c: F.lit(None).cast(kind) for c, kind in nothing.items()} | {"company": _slug(), "tags": F.lit(None)} | fields
+    company = F.coalesce(text(F.col("name")), fields["company"]) if named else fields["company"]
+    return rows.select(
         F.col("connector").alias("source"), fit_id(fields["source_job_id"]).alias("source_job_id"), "scope", F.coalesce(fields["url"], F.lit("")).alias("url"), F.coalesce(fields["title"], F.lit("")).alias("title"),
-        named.alias("company"), fields["description"].alias("description"), fields["location_raw"].alias("location_raw"), F.coalesce(fields["tags"], F.array().cast("array<string>")).alias("tags"),
+        company.alias("company"), fields["description"].alias("description"), fields["location_raw"].alias("location_raw"), F.coalesce(fields["tags"], F.array().cast("array<string>")).alias("tags"),
         *(fields[c].alias(c) for c in ("salary_raw", "posted_at", "hiring_regions_hint", "employment_type_hint", "min_yoe_hint")),
     )
-    if connector == "simplify":
-        found = found.where(F.col("posted_at").isNull() | (F.col("posted_at") >= now - F.make_dt_interval(F.lit(SIMPLIFY_DAYS))))
-    return found
 
 
 def with_registry(responses: DataFrame, registry: DataFrame) -> DataFrame:
