@@ -19,6 +19,7 @@ from rolecall.sources import landed
 from rolecall.sources.postings import AS_OF, POSTINGS_SQL, TITLES, _pick, _sql_pick, postings
 from rolecall.staging import shared_dir
 from rolecall.streaming import ingest
+from rolecall.streaming import state
 from rolecall.streaming import sync as stream_sync_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,15 +115,16 @@ def src_joined_board(spark, sf_dir):
     return found.select("source_job_id", "title", F.trim("location_raw").alias("place"), F.try_element_at("tags", F.lit(1)).alias("role"), "in_india", "employment_type_hint")
 
 
-@_query(f"""WITH {POSTINGS_SQL}, states AS (
+_SYNCED_SQL = f"""WITH {POSTINGS_SQL}, states AS (
   SELECT source, source_job_id, ordinal % 6 AS board, ordinal % 10 <> 1 AS one, ordinal % 10 <> 2 AS two, ordinal % 10 NOT IN (2, 3) AS three, ordinal % 17 AS form FROM postings
 )
 SELECT source, source_job_id, CAST(CASE WHEN three OR board > 2 THEN 0 ELSE CASE WHEN two THEN 1 ELSE 2 END END AS INT) AS missed_runs,
   sha1(source_job_id || CASE WHEN three THEN CASE WHEN form = 3 THEN '!' ELSE '' END WHEN two THEN CASE WHEN form = 2 THEN '!' ELSE '' END ELSE CASE WHEN form = 1 THEN '!' ELSE '' END END) AS fingerprint
-FROM states WHERE three OR board > 2 OR two""")
-def stream_sync(spark, sf_dir):
-    """The stored table after three runs of a searched source: three boards are read wholly, whose postings go after two misses."""
-    base = f"{shared_dir(spark)}/rolecall/{uuid.uuid4().hex}"
+FROM states WHERE three OR board > 2 OR two"""
+
+
+def _three_runs(spark, sf_dir, base, sync):
+    """The table that ``sync`` gives after the last of three runs of a searched source; three boards are read wholly."""
     k, found = F.col("ordinal"), None
     scopes = spark.sql("select cast(null as string) as source, cast(null as string) as source_job_id, concat('board-', id) as scope, cast(null as string) as fingerprint, cast(null as bigint) as ordinal from range(3)")
     for run, gone in ((1, (1,)), (2, (2,)), (3, (2, 3))):
@@ -130,10 +132,24 @@ def stream_sync(spark, sf_dir):
             "source", "source_job_id", F.concat(F.lit("board-"), (k % 6).cast("string")).alias("scope"), F.sha1(F.concat("source_job_id", F.when(k % 17 == run, "!").otherwise(""))).alias("fingerprint"), "ordinal"
         )
         seen.unionByName(scopes).write.mode("append").parquet(f"{base}/runs")
-        found = stream_sync_runs.sync_available(spark, f"{base}/runs", f"{base}/table", f"{base}/progress", AS_OF, full=False)
+        found = sync(f"{base}/runs", f"{base}/table", f"{base}/progress")
     return found.select("source", "source_job_id", "missed_runs", "fingerprint")
 
 
+@_query(_SYNCED_SQL)
+def stream_sync(spark, sf_dir):
+    """The stored table after three runs of a searched source, whose postings go after two misses."""
+    base = f"{shared_dir(spark)}/rolecall/{uuid.uuid4().hex}"
+    return _three_runs(spark, sf_dir, base, lambda *where: stream_sync_runs.sync_available(spark, *where, AS_OF, full=False))
+
+
+@_query(_SYNCED_SQL)
+def state_sync(spark, sf_dir):
+    """The same three runs with the table in the state store."""
+    base = f"{shared_dir(spark)}/rolecall/{uuid.uuid4().hex}"
+    return _three_runs(spark, sf_dir, base, lambda *where: state.sync_state(spark, *where, AS_OF, full=False))
+
+
 @_query(f"WITH {_BOARD_SQL} SELECT 'lever:b' || c AS scope, status FROM boards")
 def fetch_board_status(spark, sf_dir):
     return landed.board_status(_array_boards(spark, sf_dir)).select("scope", "status")
