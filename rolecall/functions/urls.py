@@ -69,3 +69,44 @@ def canonical_apply_url(url: Column, description: Column) -> Column:
     ranked = F.transform(links, lambda u, i: F.struct((-rank(u)).alias("r"), i.alias("i"), u.alias("u")))
     best = F.array_min(F.filter(ranked, lambda x: x["r"] < 0))["u"]
     return F.when(~is_aggregator(url), strip_tracking(url)).when(best.isNotNull(), strip_tracking(best))
+
+
+_REFERENCE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def _without_dots(segments: Column) -> Column:
+    """The path of these segments, the first being empty, with ``.`` and ``..`` resolved; no step leads above the root."""
+    none = F.array(F.lit(""))
+    kept = F.aggregate(
+        F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0))), none,
+        lambda kept, s: F.when(s == ".", kept).when(s != "..", F.array_append(kept, s)).when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept),
+    )
+    return F.array_join(F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept), "/")
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """The URL that ``reference`` means on the page ``base``, by RFC 3986: absolute, by scheme, by root, relative with steps up, query or fragment alone.
+
+    A relative path's empty inner segments are dropped, as browsers' libraries do. A
+    null stays null; a ``base`` without scheme and host gives the reference itself.
+    """
+    part = lambda url, k: F.regexp_extract(url, _REFERENCE, k)
+    scheme, host, path, query, fragment = (part(reference, k) for k in range(1, 6))
+    root = F.concat(F.lower(part(base, 1)), F.lit("://"), part(base, 2))
+    above = F.split(F.regexp_replace(part(base, 3), "[^/]*$", ""), "/")
+    joined = F.split(F.concat(F.when(F.array_join(above, "/") == "", "/").otherwise(F.array_join(above, "/")), path), "/")
+    inner = F.filter(F.slice(joined, F.lit(2), F.greatest(F.size(joined) - 2, F.lit(0))), lambda s: s != "")
+    merged = F.concat(F.array(F.lit("")), inner, F.array(F.element_at(joined, -1)))
+    tail = F.concat(query, fragment)
+    found = (
+        F.when((scheme != "") & (host == ""), reference)
+        .when(host != "", F.concat(F.coalesce(F.nullif(F.lower(scheme), F.lit("")), F.lower(part(base, 1))), F.lit("://"), host, F.when(path != "", _without_dots(F.split(path, "/"))).otherwise(""), tail))
+        .when(path.startswith("/"), F.concat(root, _without_dots(F.split(path, "/")), tail)).when(path != "", F.concat(root, _without_dots(merged), tail))
+        .when(query != "", F.concat(root, part(base, 3), tail)).when(fragment != "", F.concat(root, part(base, 3), part(base, 4), fragment)).otherwise(base)
+    )
+    return F.when(reference.isNotNull(), F.when((part(base, 1) != "") & (part(base, 2) != ""), found).otherwise(reference))
+
+
+def site_of(url: Column) -> Column:
+    """What stands between ``//`` and the path, in lower case, without ``www.``."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, _REFERENCE, 2)), r"^www\.", "")

@@ -94,3 +94,30 @@ def apply(jobs: DataFrame, extractions: DataFrame) -> DataFrame:
         "employment_type": F.when(c("employment_type") == "unknown", F.coalesce("e_employment_type", "employment_type")).otherwise(c("employment_type")), "role_category": F.when(refined, c("e_role_category")).otherwise(c("role_category")),
         "tech_stack": F.when(F.size("e_tech_stack") > 0, F.array_sort(F.array_union("tech_stack", "e_tech_stack"))).otherwise(c("tech_stack")),
     }).select(*jobs.columns)
+
+
+# Words of the paragraphs that say who may apply; the characters of a text and of a paragraph that are sent.
+SIGNAL = (
+    r"(?i)(requirement|qualification|who\s+you\s+are|what\s+we.?re\s+looking|about\s+you|eligib|experience|must\s+have|minimum|basic\s+qualif|"
+    r"location|remote|visa|sponsor|authoriz|work\s+permit|time\s?zone)"
+)
+BUDGET, PARAGRAPH = 1400, 600
+
+
+def condense(description: Column, budget: int = BUDGET) -> Column:
+    """A text of at most ``budget`` characters: as it is if short enough, else its paragraphs, those with signal first, as far as they fit, in their order.
+
+    A paragraph counts with its first 600 characters; one that doesn't fit is passed
+    over. If none fits, the text's beginning. Null is empty.
+    """
+    blank = r"[\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    strip = lambda c: F.regexp_replace(c, f"^{blank}+|{blank}+$", "")
+    text = F.regexp_replace(strip(F.coalesce(description, F.lit(""))), "\n{3,}", "\n\n")
+    paragraphs = F.filter(F.transform(F.split(text, f"\n{blank}*\n"), strip), lambda p: p != "")
+    ranked = F.array_sort(F.transform(paragraphs, lambda p, i: F.struct(F.when(p.rlike(SIGNAL), 0).otherwise(1).alias("rank"), i.alias("i"), F.substring(p, 1, PARAGRAPH).alias("p"))))
+    none = F.struct(F.lit(0).alias("used"), F.array().cast("array<struct<i:int,p:string>>").alias("kept"))
+    fits = lambda told, x: told["used"] + F.char_length(x["p"]) <= budget
+    add = lambda told, x: F.struct((told["used"] + F.char_length(x["p"])).alias("used"), F.array_append(told["kept"], F.struct(x["i"].alias("i"), x["p"].alias("p"))).alias("kept"))
+    kept = F.aggregate(ranked, none, lambda told, x: F.when(fits(told, x), add(told, x)).otherwise(told))["kept"]
+    joined = F.array_join(F.transform(F.array_sort(kept), lambda x: x["p"]), "\n\n")
+    return F.when(F.char_length(text) <= budget, text).when(joined != "", joined).otherwise(F.substring(text, 1, budget))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rolecall import vocabulary as v
 from rolecall.functions import labels
-from rolecall.operators import store
+from rolecall.operators import store, tables
 from rolecall.plans.sql import NOW, lit, rx
 from rolecall.sources import landed
 from rolecall.sources.postings import AS_OF, POSTINGS_SQL, TITLES, _pick, _sql_pick, postings
@@ -131,8 +131,9 @@ def _three_runs(spark, sf_dir, base, sync):
         seen = postings(spark, sf_dir).where(~(k % 10).isin(*gone)).select(
             "source", "source_job_id", F.concat(F.lit("board-"), (k % 6).cast("string")).alias("scope"), F.sha1(F.concat("source_job_id", F.when(k % 17 == run, "!").otherwise(""))).alias("fingerprint"), "ordinal"
         )
-        seen.unionByName(scopes).write.mode("append").parquet(f"{base}/runs")
-        found = sync(f"{base}/runs", f"{base}/table", f"{base}/progress")
+        rows = seen.unionByName(scopes)
+        rows.write.mode("append").parquet(f"{base}/runs")
+        found = sync(rows, f"{base}/runs", f"{base}/table", f"{base}/progress")
     return found.select("source", "source_job_id", "missed_runs", "fingerprint")
 
 
@@ -140,14 +141,30 @@ def _three_runs(spark, sf_dir, base, sync):
 def stream_sync(spark, sf_dir):
     """The stored table after three runs of a searched source, whose postings go after two misses."""
     base = f"{shared_dir(spark)}/rolecall/{uuid.uuid4().hex}"
-    return _three_runs(spark, sf_dir, base, lambda *where: stream_sync_runs.sync_available(spark, *where, AS_OF, full=False))
+    return _three_runs(spark, sf_dir, base, lambda _, *where: stream_sync_runs.sync_available(spark, *where, AS_OF, full=False))
 
 
 @_query(_SYNCED_SQL)
 def state_sync(spark, sf_dir):
     """The same three runs with the table in the state store."""
     base = f"{shared_dir(spark)}/rolecall/{uuid.uuid4().hex}"
-    return _three_runs(spark, sf_dir, base, lambda *where: state.sync_state(spark, *where, AS_OF, full=False))
+    return _three_runs(spark, sf_dir, base, lambda _, *where: state.sync_state(spark, *where, AS_OF, full=False))
+
+
+@_query(_SYNCED_SQL)
+def stored_sync(spark, sf_dir):
+    """The same three runs with the table on disk, of which each run writes the sources that it changes."""
+    base = f"{shared_dir(spark)}/rolecall/{uuid.uuid4().hex}"
+    kinds = [part.rsplit(" ", 1) for part in stream_sync_runs.TABLE.split(", ")]
+
+    def sync(rows, runs, table, progress):
+        every = postings(spark, sf_dir).select("source").distinct()  # a source that found nothing has run too
+        seen = rows.where("source_job_id is not null").unionByName(every, allowMissingColumns=True)
+        wanted = seen.select(*(F.col(n) if n in rows.columns else F.lit(None).cast(kind).alias(n) for n, kind in kinds))
+        tables.sync_sources(spark, table, stream_sync_runs.TABLE, wanted, rows.where("source_job_id is null").select("scope"), None, False, AS_OF)
+        return tables.load(spark, table, stream_sync_runs.TABLE)
+
+    return _three_runs(spark, sf_dir, base, sync)
 
 
 @_query(f"WITH {_BOARD_SQL} SELECT 'lever:b' || c AS scope, status FROM boards")
