@@ -12,7 +12,7 @@ from rolecall.functions import text as t
 from rolecall.functions import urls, windows
 from rolecall.operators import dedupe, export, gate, health, listing, normalize, score, sync
 from rolecall.operators.listing import JobFilter
-from rolecall.plans import boards, discovery, landing, links, pages, searches, upkeep
+from rolecall.plans import boards, discovery, landing, links, pages, searches, upkeep, ventures
 from rolecall.plans.sql import (
     JOBS_SQL, NORMALIZED_SQL, NOW, PARTS_SQL, REASONS_SQL, brand_sql, canonical_sql, company_sql, host_sql, lit, rx, strip_sql,
 )
@@ -36,11 +36,11 @@ def _query(sql: str | None):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | landing.QUERIES | boards.QUERIES | pages.QUERIES | searches.QUERIES | discovery.QUERIES | links.QUERIES | upkeep.QUERIES
+    return _QUERIES | landing.QUERIES | boards.QUERIES | pages.QUERIES | searches.QUERIES | discovery.QUERIES | ventures.QUERIES | links.QUERIES | upkeep.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | landing.SQL | boards.SQL | pages.SQL | searches.SQL | discovery.SQL | links.SQL | upkeep.SQL
+    return _SQL | landing.SQL | boards.SQL | pages.SQL | searches.SQL | discovery.SQL | ventures.SQL | links.SQL | upkeep.SQL
 
 
 def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:

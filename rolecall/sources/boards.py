@@ -491,14 +491,15 @@ def read(responses: DataFrame, connector: str, as_of: str) -> DataFrame:
     return found
 
 
-def read_source(responses: DataFrame, connector: str, source: Source, as_of: str, named: bool, rss: bool = False, ordered: bool = False) -> DataFrame:
+def read_source(responses: DataFrame, connector: str, source: Source, as_of: str, named: bool, rss: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """As ``read``, of a source that is given; ``named``: the registry's name of a scope comes before the item's.
 
-    ``ordered``: responses have an ``ordinal``; rows get ``place``, which orders them by it and by their place in the response.
+    ``carry``: columns of responses that ``row`` reads too. With an ``ordinal`` among them rows get ``place``, which orders
+    them by it and by their place in the response.
     """
     i, now = F.col("i"), F.lit(as_of).cast("timestamp_ntz")
     rows = status_of(responses, connector, source, rss).where("status = 'ok'")
-    rows = rows.select("connector", "scope", "slug", "host", "name", *(["ordinal"] if ordered else []), F.posexplode("items").alias("at", "i")).where(source.keep(i))
+    rows = rows.select("connector", "scope", "slug", "host", "name", *carry, F.posexplode("items").alias("at", "i")).where(source.keep(i))
     fields = source.row(i)
     if "posted_on" in fields:
         fields["posted_at"] = parse_relative_posted(fields.pop("posted_on"), now)
@@ -508,7 +509,7 @@ def read_source(responses: DataFrame, connector: str, source: Source, as_of: str
     return rows.select(
         F.col("connector").alias("source"), fit_id(fields["source_job_id"]).alias("source_job_id"), "scope", F.coalesce(fields["url"], F.lit("")).alias("url"), F.coalesce(fields["title"], F.lit("")).alias("title"),
         company.alias("company"), fields["description"].alias("description"), fields["location_raw"].alias("location_raw"), F.coalesce(fields["tags"], F.array().cast("array<string>")).alias("tags"),
-        *(fields[c].alias(c) for c in ("salary_raw", "posted_at", "hiring_regions_hint", "employment_type_hint", "min_yoe_hint")), *([F.struct("ordinal", "at").alias("place")] if ordered else []),
+        *(fields[c].alias(c) for c in ("salary_raw", "posted_at", "hiring_regions_hint", "employment_type_hint", "min_yoe_hint")), *([F.struct("ordinal", "at").alias("place")] if "ordinal" in carry else []),
     )
 
 

@@ -43,7 +43,8 @@ class Paging(NamedTuple):
     """How a search goes on. ``kind``: page (1, 2, ..), offset (0, size, ..) or cursor (null, then what ``next`` holds).
 
     ``items``, ``id``, ``total`` and ``next`` are dotted paths in the payload and the
-    item; without ``total`` a page of fewer than ``size`` items is the last.
+    item; without ``total`` a page of fewer than ``size`` items is the last. ``partial``:
+    codes after which a query ends with the pages that it has, beside the failed one.
     """
 
     kind: str
@@ -53,6 +54,7 @@ class Paging(NamedTuple):
     max_pages: int
     total: str = ""
     next: str = ""
+    partial: tuple[int, ...] = ()
 
 
 class Answer(NamedTuple):
@@ -92,7 +94,8 @@ def pages_of(fetch: Callable[[str, int], Answer], paging: Paging, retry: Retry =
         except ValueError:
             payload = None
         if payload is None:
-            return [(page, Answer(answer.code if answer.code != 200 else 0, None), attempts)]
+            failed = (page, Answer(answer.code if answer.code != 200 else 0, None), attempts)
+            return [*found, failed] if answer.code in paging.partial else [failed]
         found.append((page, answer, attempts))
         items = _at(payload, paging.items)
         items = items if isinstance(items, list) else []
@@ -181,4 +184,4 @@ def first_wins(postings: DataFrame) -> DataFrame:
 
 def read(responses: DataFrame, connector: str, as_of: str) -> DataFrame:
     """The postings of a search's responses, each id once: the one that the first query found first."""
-    return first_wins(boards.read_source(responses, connector, boards.SOURCES[connector], as_of, connector in ("workday", "oracle"), ordered=True))
+    return first_wins(boards.read_source(responses, connector, boards.SOURCES[connector], as_of, connector in ("workday", "oracle"), carry=("ordinal",)))

@@ -85,3 +85,10 @@ def test_read_by_spark(spark, tmp_path):
     three = search.search(spark, f"file://{tmp_path}", [*queries, (2, "amazon", "other", "o", "z", "India")], paging)
     assert [(r["query"], r["http_code"], r["body"]) for r in three.where("body is null").collect()] == [(2, None, None)]
     assert search.covered_scopes(three, whole=True).count() == 0 and [r[0] for r in search.covered_scopes(three).collect()] == ["amazon"]
+
+
+def test_a_limited_rate_keeps_what_was_read():
+    """A search that allows it ends with its pages and the failed one, so that nothing is judged closed."""
+    fetch, _ = _fetch({"0": _page(1, 2), "2": [Answer(429, None)] * 3})
+    found = pages_of(fetch, BY_OFFSET._replace(partial=(429,)))
+    assert [(page, a.code, a.body is None) for page, a, _ in found] == [(0, 200, False), (1, 429, True)]
