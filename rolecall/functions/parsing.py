@@ -21,8 +21,8 @@ REGION_PATTERNS = (
     ("canada", r"(?i)\b(canada|toronto|vancouver|montreal|ottawa|waterloo)\b"),
     ("latam", r"(?i)\b(brazil|(?<!new\s)mexico|argentina|colombia|chile|latam)\b"),
 )
-#: The entities of nearly all markup, looked up before the whole table of HTML 5, which Python brings.
-_COMMON = {name: html5[name] for name in ("amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;")}
+#: References of nearly all markup, replaced before the others are looked up in the whole table of HTML 5, which Python brings. None gives an ampersand.
+_COMMON = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0"}
 #: Names that count without a semicolon too, longest first, as the longest wins.
 _BARE = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 #: Numbers that mean a sign of Windows-1252, where it has one.
@@ -57,15 +57,17 @@ def _resolved(piece: Column) -> Column:
     """What follows an ampersand, with the reference at its start resolved if there is one."""
     number, name, bare = (F.regexp_extract(piece, pattern, 0) for pattern in (r"^#([xX][0-9A-Fa-f]+|[0-9]+);?", "^[A-Za-z][A-Za-z0-9]{0,30};", _BARE))
     rest = lambda start: F.substr(piece, F.length(start) + 1)
-    common, sign = F.try_element_at(_table(_COMMON), name), F.try_element_at(_table(html5), name)
+    sign = F.try_element_at(_table(html5), name)
     return (
-        F.when(number != "", F.concat(_numbered(number), rest(number))).when(common.isNotNull(), F.concat(common, rest(name))).when((name != "") & sign.isNotNull(), F.concat(sign, rest(name)))
+        F.when(number != "", F.concat(_numbered(number), rest(number))).when(name == "amp;", F.concat(F.lit("&"), rest(name))).when((name != "") & sign.isNotNull(), F.concat(sign, rest(name)))
         .when(bare != "", F.concat(F.element_at(_table(html5), bare), rest(bare))).otherwise(F.concat(F.lit("&"), piece))
     )
 
 
 def unescape(html: Column) -> Column:
     """Resolves the character references of HTML 5, one level at a time: by number, by name, and the old names without a semicolon."""
+    for reference, sign in _COMMON.items():
+        html = F.replace(html, F.lit(reference), F.lit(sign))
     pieces = F.split(html, "&")
     return F.when(html.contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _resolved), ""))).otherwise(html)
 
