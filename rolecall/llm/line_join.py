@@ -16,8 +16,9 @@ from rolecall.operators.blocks import attend, blocks_by_size, meetings
 from rolecall.operators.joins import join_hot
 from rolecall.staging import drop_stage, stage_table
 
-#: Counters of word frequency. Rarity only orders the words, so words that share a counter cost time, not results.
-COUNTERS = 1 << 17
+#: Counters of word frequency, as few and as many, and the bytes of text for which there is one between. Rarity only
+#: orders the words, so words that share a counter cost time, not results.
+LEAST_COUNTERS, MOST_COUNTERS, COUNTED = 1 << 17, 1 << 22, 1 << 15
 #: Words of a line from which a group's sets are compared pair by pair, as each has so many prefix words.
 LONG = 4096
 #: Classes a task remembers so as to send a repeated line's prefix once, and postings it gathers before it sends them.
@@ -63,7 +64,7 @@ class Lines:
         self.doc = np.searchsorted(ends, breaks)
         self.number = np.arange(len(breaks)) - np.searchsorted(self.doc, np.arange(len(texts)))[self.doc]
         line = np.searchsorted(breaks, begin + np.repeat(ends + 1 - sizes, np.diff(at)))
-        rarity = np.zeros(len(hashes), np.uint64) if levels is None else levels[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64)
+        rarity = np.zeros(len(hashes), np.uint64) if levels is None else levels[_counter(hashes, len(levels))].astype(np.uint64)
         # One number to sort by: the line, the level, and as much of the hash as has room.
         bits = len(breaks).bit_length()
         key = line.astype(np.uint64) << np.uint64(64 - bits) | rarity << np.uint64(55 - bits) | hashes >> np.uint64(9 + bits)
@@ -112,15 +113,27 @@ def prefix_length(n, t: float = 0.8):
     return n - np.ceil(t * n - 1e-9) + 1
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        texts = utf8(batch.column(0))
-        for a, b in chunks(texts):
-            hashes = word_hashes(texts[a:b], PUNCTUATION)[0]
-            counts += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], names=["counter", "n"])
+def counters(size: int) -> int:
+    """How many counters a corpus of so many bytes gets: a power of two, so that a counter stands for as many words in any corpus up to 128 GB."""
+    return min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << max(0, size // COUNTED - 1).bit_length()))
+
+
+def _counter(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (hashes & np.uint64(n - 1)).astype(np.int64)
+
+
+def _count(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(n, np.int64)
+        for batch in batches:
+            texts = utf8(batch.column(0))
+            for a, b in chunks(texts):
+                used, times = np.unique(_counter(word_hashes(texts[a:b], PUNCTUATION)[0], n), return_counts=True)
+                counts[used] += times
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], names=["counter", "n"])
+
+    return run
 
 
 def word_key(words: np.ndarray, slots: int) -> np.ndarray:
@@ -194,7 +207,7 @@ def _scatter(levels, hot_level: int, slots: int, least: int, t: float):
                 use = able[lines.line] & (place < prefix_length(lines.size, t)[lines.line])
                 of, words = lines.line[use], lines.words[use]
                 rows = [word_key(words, slots), ref[of], *(part[of] for part in lines.parity()), lines.size[of], place[use]]
-                hot = (levels.value[(words & np.uint64(COUNTERS - 1)).astype(np.int64)] >= hot_level) | (rows[4] > 0xFFFF)
+                hot = (levels.value[_counter(words, len(levels.value))] >= hot_level) | (rows[4] > 0xFFFF)
                 if hot.any():
                     yield packed([spread % slots], [POSTING], [np.stack([c[hot].astype(np.uint64).view(np.int64) for c in rows]).tobytes()])
                 held.append([c[~hot] for c in rows])
@@ -422,8 +435,9 @@ def similar_lines(docs: DataFrame, t: float = 0.8, least: int = 3, limits: Limit
     """
     spark = docs.sparkSession
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    table = np.zeros(COUNTERS, np.int64)
-    for r in given.select("text").mapInArrow(_count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
+    n = counters(given.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    table = np.zeros(n, np.int64)
+    for r in given.select("text").mapInArrow(_count(n), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
         table[r["counter"]] = r["n"]
     level = lambda n: np.minimum(511, np.round(8 * np.log2(np.maximum(n, 1)))).astype(np.uint16)
     levels = spark.sparkContext.broadcast(level(table))
