@@ -128,8 +128,12 @@ def _count(n: int):
         for batch in batches:
             texts = utf8(batch.column(0))
             for a, b in chunks(texts):
-                used, times = np.unique(_counter(word_hashes(texts[a:b], PUNCTUATION)[0], n), return_counts=True)
-                counts[used] += times
+                found = _counter(word_hashes(texts[a:b], PUNCTUATION)[0], n)
+                if n <= LEAST_COUNTERS:
+                    counts += np.bincount(found, minlength=n)
+                else:  # a large table isn't gone through for each chunk
+                    used, times = np.unique(found, return_counts=True)
+                    counts[used] += times
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], names=["counter", "n"])
 
