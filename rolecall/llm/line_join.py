@@ -21,6 +21,8 @@ from rolecall.staging import drop_stage, stage_table
 LEAST_COUNTERS, MOST_COUNTERS, COUNTED = 1 << 17, 1 << 22, 1 << 15
 #: Words of a line from which a group's sets are compared pair by pair, as each has so many prefix words.
 LONG = 4096
+#: Words of a line up to which a pair is compared by Python's sets, and links that leave a task at once.
+SHORT, SENT = 512, 1 << 16
 #: Classes a task remembers so as to send a repeated line's prefix once, and postings it gathers before it sends them.
 REMEMBERED = 1 << 18
 GATHERED = 1 << 19
@@ -352,14 +354,19 @@ def _verified_pairs(rows: list[dict], pairs: list[dict], slots: int, t: float) -
     """Counts a pair if it is similar and the rarest word that both have is one that it was found by as a pair."""
     sets: dict[int, list] = defaultdict(list)
     for r in rows:
-        sets[r["ref"]].append((np.frombuffer(r["words"], np.uint64), r))
+        words = np.frombuffer(r["words"], np.uint64)
+        # Sets of Python's are the faster way for a few words; long ones would take too much memory.
+        sets[r["ref"]].append((words, frozenset(words.tolist()) if len(words) <= SHORT else None, r))
     for pair in pairs:
-        for a, x in sets[pair["a"]]:
-            for b, y in sets[pair["b"]]:
-                both = a[np.isin(a, b)]
-                if len(both) >= overlap_needed(len(a), len(b), t) and int(word_key(both[:1], slots)[0]) in pair["words"]:
-                    yield x["ref"], x["tail"], 1, y["doc_id"], y["line"]
-                    yield y["ref"], y["tail"], 1, x["doc_id"], x["line"]
+        for a, of_a, x in sets[pair["a"]]:
+            for b, of_b, y in sets[pair["b"]]:
+                short = of_a is not None and of_b is not None
+                both = of_a & of_b if short else a[np.isin(a, b)].tolist()
+                if len(both) >= overlap_needed(len(a), len(b), t):
+                    rarest = next(w for w in a.tolist() if w in both) if short else both[0]
+                    if (rarest % (1 << 32) % slots << 32 | rarest >> 32) in pair["words"]:
+                        yield x["ref"], x["tail"], 1, y["doc_id"], y["line"]
+                        yield y["ref"], y["tail"], 1, x["doc_id"], x["line"]
 
 
 def _verified_blocks(word: int, left: list[dict], right: list[dict] | None, slots: int, t: float) -> Iterator[tuple]:
@@ -397,24 +404,34 @@ def _verified_singly(rows: list[dict], within: bool, slots: int, t: float) -> It
 def _verify(slots: int, t: float):
     """Links by whole sets, of the listed pairs of a meeting, or of all its pairs where none are listed."""
 
+    def links(own: int, other: int, rows: list[dict], pairs: list[dict] | None) -> Iterator[tuple]:
+        # A repeated row of a document gives a class's set again.
+        rows = list({(r["ref"], r["tail"]): r for r in rows}.values())
+        if pairs is not None:
+            yield from _verified_pairs(rows, pairs, slots, t)
+            return
+        if any(len(r["words"]) > 8 * LONG for r in rows):
+            yield from _verified_singly(rows, own == other, slots, t)
+            return
+        by_word: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+        for r in rows:
+            for word in r["by"]:
+                by_word[word][r["block"] != own].append(r)
+        for word, (left, right) in by_word.items():
+            if own == other or left and right:
+                yield from _verified_blocks(word, left, None if own == other else right, slots, t)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, other, rows, pairs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                # A repeated row of a document gives a class's set again.
-                rows = list({(r["ref"], r["tail"]): r for r in rows}.values())
-                if pairs is not None:
-                    yield _links([*_verified_pairs(rows, pairs, slots, t)])
-                    continue
-                if any(len(r["words"]) > 8 * LONG for r in rows):
-                    yield _links([*_verified_singly(rows, own == other, slots, t)])
-                    continue
-                by_word: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
-                for r in rows:
-                    for word in r["by"]:
-                        by_word[word][r["block"] != own].append(r)
-                for word, (left, right) in by_word.items():
-                    if own == other or left and right:
-                        yield _links([*_verified_blocks(word, left, None if own == other else right, slots, t)])
+            found: list[tuple] = []
+            for meeting in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                for link in links(*meeting):
+                    found.append(link)
+                    if len(found) == SENT:
+                        yield _links(found)
+                        found = []
+            if found:
+                yield _links(found)
 
     return run
 
