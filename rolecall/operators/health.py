@@ -41,3 +41,22 @@ def severity(error: Column, found: Column, collapsed_: Column, failed: Column, c
 
 def prune(runs: DataFrame, as_of: str, days: int = 14) -> DataFrame:
     return runs.where(F.col("started_at") >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days)))
+
+
+def unhealthy(runs: DataFrame) -> DataFrame:
+    """``connector, error`` of those whose newest run failed or found nothing."""
+    return latest_runs(runs).where(F.col("error").isNotNull() | (F.coalesce("found", F.lit(0)) == 0)).select("connector", "error")
+
+
+def totals(runs: DataFrame) -> DataFrame:
+    """``found, new, updated, closed`` of all runs; zeros without any."""
+    return runs.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("found", "new", "updated", "closed")))
+
+
+def report(checks: DataFrame) -> DataFrame:
+    """``place, line``: the report on ``connector, severity, said``, the counts first, then broken, degraded and ok connectors by name; as small as the list of connectors."""
+    rank = F.when(F.col("severity") == "broken", 1).when(F.col("severity") == "degraded", 2).otherwise(3)
+    counts = checks.agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("ok", "degraded", "broken")))
+    head = counts.select(F.lit(0).alias("place"), F.format_string("%d ok, %d degraded, %d broken", "ok", "degraded", "broken").alias("line"))
+    lines = checks.select(F.row_number().over(W.orderBy(rank, "connector")).alias("place"), F.format_string("| %s | %s | %s |", "connector", "severity", F.coalesce("said", F.lit(""))).alias("line"))
+    return head.unionByName(lines)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rolecall import vocabulary as v
 from rolecall.functions import text as t
 from rolecall.functions import urls, windows
-from rolecall.operators import dedupe, export, gate, health, listing, normalize, score, sync
+from rolecall.operators import client, dedupe, export, gate, health, listing, normalize, score, sync, vectors
+from rolecall.operators.client import ClientFilter
 from rolecall.operators.listing import JobFilter
 from rolecall.plans import boards, discovery, landing, links, pages, searches, upkeep, ventures
 from rolecall.plans.sql import (
@@ -364,3 +366,97 @@ def saved_not_applied_new(spark, sf_dir):
     raw, key = postings(spark, sf_dir), ["source", "source_job_id"]
     jobs = _jobs(spark, sf_dir).where(F.col("first_seen_at") > F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval(F.lit(3)))
     return jobs.join(raw.where("ordinal % 2 = 0").select(*key), key, "left_semi").join(raw.where("ordinal % 3 = 0").select(*key), key, "left_anti").select(*key, "match_score")
+
+
+_REACHABLE_SQL = "CASE WHEN coalesce(requires_work_auth, false) AND NOT coalesce(visa_sponsorship, false) THEN list_contains(hiring_regions, 'india') ELSE list_has_any(hiring_regions, ['worldwide', 'india', 'apac']) END"
+_SHOWN_SQL = "coalesce(posted_at, first_seen_at)"
+_PAID_SQL = f"ordinal IN (SELECT o_orderkey FROM orders WHERE {_PAY_AT} IN ({', '.join(map(str, _PAY))}))"
+
+
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the snapshot's reader sees: active jobs that pass the gate."""
+    return _jobs(spark, sf_dir).where("is_active and drop_reason is null")
+
+
+def _marks(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
+    return postings(spark, sf_dir).where(F.col("ordinal") % every == 0).select("source", "source_job_id")
+
+
+@_query(f"""WITH {JOBS_SQL} SELECT source, source_job_id, match_score FROM jobs WHERE is_active AND drop_reason IS NULL AND coalesce(min_yoe <= 0, true) AND (is_new_grad OR employment_type = 'internship')
+  AND greatest(floor((epoch({NOW}) - epoch({_SHOWN_SQL})) / 86400), 0) <= 45 AND ordinal % 3 <> 0 AND NOT contains(lower(title), 'zzz') AND list_contains(tech_stack, 'python')""")
+def client_new_grads(spark, sf_dir):
+    """The reader's filters: no years asked, new graduates, posted within 45 days, a skill, none applied to."""
+    f = ClientFilter(new_grad_only=True, posted_within_days=45, tech=("python",), hide_applied=True)
+    return client.chosen(_shown(spark, sf_dir), f, AS_OF, _marks(spark, sf_dir, 2), _marks(spark, sf_dir, 3)).select("source", "source_job_id", "match_score")
+
+
+@_query(f"""WITH {JOBS_SQL} SELECT source, source_job_id FROM jobs WHERE is_active AND min_yoe <= 4 AND {_PAID_SQL} AND ordinal % 2 = 0 AND {_REACHABLE_SQL} AND employment_type IN ('internship', 'full_time')
+  AND (contains(lower(title), 'engineer') OR contains(lower(company), 'engineer') OR contains(lower(coalesce(location_raw, '')), 'engineer'))""")
+def client_paid_saved(spark, sf_dir):
+    """Saved jobs that state pay, are reachable, and hold a word; unstated years are left out."""
+    f = ClientFilter(query=" Engineer ", employment=("internship", "full_time"), max_min_yoe=4, include_unknown_yoe=False, reachable_only=True, paid_only=True, saved_only=True)
+    return client.chosen(_jobs(spark, sf_dir).where("is_active"), f, AS_OF, _marks(spark, sf_dir, 2), _marks(spark, sf_dir, 3)).select("source", "source_job_id")
+
+
+@_query(f"WITH {JOBS_SQL} SELECT source, source_job_id, {_SHOWN_SQL} AS shown_at, CAST(row_number() OVER (ORDER BY {_SHOWN_SQL} DESC NULLS LAST, source, source_job_id) AS BIGINT) AS place FROM jobs WHERE is_active AND drop_reason IS NULL ORDER BY place LIMIT 40")
+def client_newest(spark, sf_dir):
+    """The reader's first page of 40 by date, with places on it."""
+    page = client.ordered(_shown(spark, sf_dir), "posted_at").limit(40)
+    place = F.row_number().over(W.orderBy(client.effective_date().desc_nulls_last(), "source", "source_job_id"))
+    return page.select("source", "source_job_id", client.effective_date().alias("shown_at"), place.cast("long").alias("place"))
+
+
+@_query(f"WITH {JOBS_SQL} SELECT count(*) AS total, count(*) FILTER (employment_type = 'internship') AS internships, count(*) FILTER ({_REACHABLE_SQL}) AS reachable, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM jobs WHERE is_active AND drop_reason IS NULL")
+def client_summary(spark, sf_dir):
+    """The reader's header."""
+    return client.summary(_shown(spark, sf_dir))
+
+
+@_query(f"""WITH {JOBS_SQL} SELECT source, source_job_id, url, title, min_yoe, grad_year, requires_work_auth AS work_auth_required, deadline AS apply_deadline, {_REACHABLE_SQL} AS reachable_from_india, yc_batch, team_size, {_PAID_SQL} AS paid,
+  coalesce(link_status, '') AS link_status, age_days, match_score FROM jobs WHERE is_active""")
+def job_summaries(spark, sf_dir):
+    """Jobs as listings send them."""
+    sent = client.to_summary(_jobs(spark, sf_dir).where("is_active"))
+    return sent.select("source", "source_job_id", "url", "title", "min_yoe", "grad_year", "work_auth_required", "apply_deadline", "reachable_from_india", "yc_batch", "team_size", F.col("pay").isNotNull().alias("paid"), "link_status", "age_days", "match_score")
+
+
+@_query(f"""WITH {JOBS_SQL} SELECT source, source_job_id, CASE WHEN ordinal % 4 = 0 THEN 'board-' || (ordinal % 6) ELSE source END AS scope, concat_ws(',', CASE WHEN team_size IS NOT NULL THEN 'team_size' END, CASE WHEN vc IS NOT NULL THEN 'vc' END, CASE WHEN yc_batch IS NOT NULL THEN 'yc_batch' END) AS kept,
+  array_to_string(tech_stack, ',') AS tech_stack, array_to_string(hiring_regions, ',') AS hiring_regions FROM jobs""")
+def stored_rows(spark, sf_dir):
+    """Jobs encoded as rows and decoded again, with payloads that hold more than what stays."""
+    k = F.col("ordinal")
+    payload = F.create_map(F.lit("yc_batch"), F.when(F.col("yc_batch").isNotNull(), F.concat(F.lit('"'), "yc_batch", F.lit('"'))), F.lit("team_size"), F.col("team_size").cast("string"), F.lit("vc"), F.when(F.col("vc").isNotNull(), F.concat(F.lit('"'), "vc", F.lit('"'))), F.lit("pay"), F.lit('""'), F.lit("funding_stage"), F.lit("[]"), F.lit("html"), F.lit('"x"'))
+    jobs = _jobs(spark, sf_dir).withColumns({"payload": payload, "scope": F.when(k % 4 == 0, F.concat(F.lit("board-"), (k % 6).cast("string")))})
+    back = client.from_row(client.to_row(jobs))
+    return back.select("source", "source_job_id", "scope", F.array_join(F.map_keys("payload"), ",").alias("kept"), F.array_join("tech_stack", ",").alias("tech_stack"), F.array_join("hiring_regions", ",").alias("hiring_regions"))
+
+
+@_query(f"WITH {_RUNS_SQL}, newest AS (SELECT connector, arg_max(found, started_at) AS found FROM runs GROUP BY 1) SELECT connector, CASE WHEN found % 3 = 1 THEN 'HTTP 500' END AS error FROM newest WHERE found % 3 = 1 OR found = 0")
+def unhealthy_connectors(spark, sf_dir):
+    """Connectors whose newest run failed or found nothing."""
+    runs = _runs(spark, sf_dir)
+    return health.unhealthy(runs.withColumn("error", F.when(F.col("found") % 3 == 1, "HTTP 500")))
+
+
+@_query(f"WITH {_RUNS_SQL} SELECT CAST(sum(found) AS BIGINT) AS found, CAST(sum(found // 2) AS BIGINT) AS new, CAST(sum(found // 5) AS BIGINT) AS updated, CAST(sum(found // 7) AS BIGINT) AS closed FROM runs")
+def pipeline_totals(spark, sf_dir):
+    """What all runs found, added, changed and closed."""
+    part = lambda n: F.floor(F.col("found") / n)
+    return health.totals(_runs(spark, sf_dir).withColumns({"new": part(2), "updated": part(5), "closed": part(7)}))
+
+
+_COPIED = 1_000_000_000
+
+
+@_query(f"""WITH RECURSIVE own AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), vectors AS (
+  SELECT * FROM own UNION ALL SELECT id + {_COPIED}, list_concat([v[1] + 0.25e0], v[2:]) FROM own WHERE id % 5 = 0 UNION ALL SELECT id + {2 * _COPIED}, v FROM own WHERE id % 10 = 0
+), classed AS (SELECT id, v, min(id) OVER (PARTITION BY v) AS class_id FROM vectors), heads AS (SELECT id, v FROM classed WHERE id = class_id
+), links AS (SELECT a.id AS a, b.id AS b FROM heads a JOIN heads b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (SELECT id, id AS seen FROM heads UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.seen
+), named AS (SELECT id, min(seen) AS component_id FROM reach GROUP BY id), degree AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT c.id, c.class_id, coalesce(n, 0) AS n_links, component_id FROM classed c JOIN named n2 ON n2.id = c.class_id LEFT JOIN degree d ON d.id = c.class_id""")
+def vector_duplicates(spark, sf_dir):
+    """Groups of near vectors: one in five has an edited copy, one in ten an equal one."""
+    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    edited = own.where("id % 5 = 0").select(F.col("id") + _COPIED, F.expr("concat(array(v[0] + 0.25d), slice(v, 2, size(v)))"))
+    return vectors.vector_groups(own.union(edited).union(own.where("id % 10 = 0").select(F.col("id") + 2 * _COPIED, "v")), "id", "v")
