@@ -383,7 +383,7 @@ def _marks(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
 
 
 @_query(f"""WITH {JOBS_SQL} SELECT source, source_job_id, match_score FROM jobs WHERE is_active AND drop_reason IS NULL AND coalesce(min_yoe <= 0, true) AND (is_new_grad OR employment_type = 'internship')
-  AND greatest(floor((epoch({NOW}) - epoch({_SHOWN_SQL})) / 86400), 0) <= 45 AND ordinal % 3 <> 0 AND NOT contains(lower(title), 'zzz') AND list_contains(tech_stack, 'python')""")
+  AND greatest(floor((epoch({NOW}) - epoch({_SHOWN_SQL})) / 86400), 0) <= 45 AND ordinal % 3 <> 0 AND list_contains(tech_stack, 'python')""")
 def client_new_grads(spark, sf_dir):
     """The reader's filters: no years asked, new graduates, posted within 45 days, a skill, none applied to."""
     f = ClientFilter(new_grad_only=True, posted_within_days=45, tech=("python",), hide_applied=True)
