@@ -20,24 +20,34 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.lower(host), r"^www\.", "")
 
 
+def _decoded(text: Column) -> Column:
+    """Percent escapes and plus signs resolved; a percent sign without two hex digits stands for itself."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def _kept(url: Column, tracking: str) -> Column:
-    """Query pairs with a value, without tracking ones."""
-    return F.filter(F.split(_part(url, 4), "&"), lambda p: (F.instr(p, "=") > 1) & ~p.endswith("=") & ~F.substring_index(p, "=", 1).rlike(tracking))
+    """Decoded query pairs with a value, ``struct(k, pair)``, without tracking ones."""
+    pairs = F.filter(F.split(_part(url, 4), "&"), lambda p: p.rlike("(?s)^[^=]*=."))
+    named = F.transform(pairs, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.regexp_replace(p, "(?s)^[^=]*=", "")).alias("v")))
+    return F.transform(F.filter(named, lambda x: ~x["k"].rlike(tracking)), lambda x: F.struct(x["k"].alias("k"), F.concat(x["k"], F.lit("="), x["v"]).alias("pair")))
 
 
 def strip_tracking(url: Column) -> Column:
-    """The URL without tracking parameters, fragment and end slashes; other parameters in order."""
-    kept = F.array_join(_kept(url, v.TRACKING), "&")
+    """The URL without tracking parameters, fragment and end slashes; other parameters decoded, those of one name together where it first stands."""
+    kept = _kept(url, v.TRACKING)
+    names = F.transform(kept, lambda x: x["k"])
+    placed = F.array_sort(F.transform(kept, lambda x, i: F.struct(F.array_position(names, x["k"]).alias("first"), i.alias("i"), x["pair"].alias("pair"))))
+    query = F.array_join(F.transform(placed, lambda x: x["pair"]), "&")
     path = F.regexp_replace(_part(url, 3), "/+$", "")
     return F.concat(
         F.lower(_part(url, 1)), F.lit("://"), F.lower(_part(url, 2)), F.when(path == "", "/").otherwise(path),
-        F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)),
+        F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)),
     )
 
 
 def canonical_url(url: Column) -> Column:
-    """What dedupe compares: no ``www.``, sorted parameters, the wider tracking list; empty without a URL."""
-    kept = F.array_join(F.array_sort(_kept(url, v.DEDUPE_TRACKING)), "&")
+    """What dedupe compares: no ``www.``, decoded and sorted parameters, the wider tracking list; empty without a URL."""
+    kept = F.array_join(F.array_sort(F.transform(_kept(url, v.DEDUPE_TRACKING), lambda x: x["pair"])), "&")
     port = F.regexp_extract(_part(url, 2), "(:[0-9]+)$", 1)
     made = F.concat(
         F.lower(_part(url, 1)), F.lit("://"), host_of(url), port, F.regexp_replace(_part(url, 3), "/+$", ""),

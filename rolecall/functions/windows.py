@@ -1,16 +1,17 @@
-"""Rules that look around each match; these have no column form and run in Arrow batches."""
+"""Rules that look around each match: degrees as columns, pay in Arrow batches."""
 
 from __future__ import annotations
 
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolecall import vocabulary as v
 
-_ADVANCED, _BACHELOR, _NEAR = (re.compile(p) for p in (v.ADVANCED_DEGREE, v.BACHELOR_OK, v.PAY_NEAR))
+_NEAR = re.compile(v.PAY_NEAR)
 _PAY = tuple((kind, re.compile(p)) for kind, p in (("month", v.PAY_MONTHLY), ("lpa", v.PAY_LPA), ("year", v.PAY_ANNUAL)))
 
 _PAID = T.StructType().add("pay_min", "long").add("pay_max", "long").add("currency", "string").add("period", "string").add("label", "string")
@@ -22,12 +23,21 @@ PAY_BEFORE, PAY_AFTER = 120, 40
 LEAST_PAY, LEAST_LAKHS, MOST_LAKHS, LAKH = 1000, 1, 200, 100_000
 
 
-def advanced_degree(title: str | None, description: str | None) -> bool:
-    """An advanced degree in the title, or in the text with no bachelor's near."""
-    if _ADVANCED.search(title or ""):
-        return True
-    text = description or ""
-    return any(not _BACHELOR.search(text[max(0, m.start() - DEGREE_WINDOW) : m.end() + DEGREE_WINDOW]) for m in _ADVANCED.finditer(text))
+def needs_advanced_degree(title: Column, description: Column) -> Column:
+    """An advanced degree in the title, or in the text with no bachelor's within ``DEGREE_WINDOW`` characters of it; false without either."""
+    text, pattern = F.coalesce(description, F.lit("")), F.lit(v.ADVANCED_DEGREE)
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
+    gaps = F.split(text, v.ADVANCED_DEGREE)
+    pairs = F.slice(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), F.lit(1), F.size(hits))
+
+    def step(seen: Column, pair: Column) -> Column:
+        begin = seen["at"] + F.char_length(pair["gap"])
+        end = begin + F.char_length(pair["hit"])
+        low = F.greatest(begin - DEGREE_WINDOW, F.lit(0))
+        return F.struct(end.alias("at"), (seen["asked"] | ~F.substr(text, low + 1, end + DEGREE_WINDOW - low).rlike(v.BACHELOR_OK)).alias("asked"))
+
+    asked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit(False).alias("asked")), step)["asked"]
+    return F.coalesce(title.rlike(v.ADVANCED_DEGREE), F.lit(False)) | F.when(text.rlike(v.ADVANCED_DEGREE), asked).otherwise(F.lit(False))
 
 
 def _amount(text: str | None) -> int | None:
@@ -59,11 +69,6 @@ def pay(text: str | None) -> dict | None:
     return None
 
 
-@F.pandas_udf(T.BooleanType())
-def needs_advanced_degree(title: pd.Series, description: pd.Series) -> pd.Series:
-    return pd.Series([advanced_degree(t, d) for t, d in zip(title, description, strict=True)], dtype="boolean")
-
-
 @F.pandas_udf(_PAID)
 def extract_pay(text: pd.Series) -> pd.DataFrame:
     rows = [pay(t) or dict.fromkeys(_PAID.names) for t in text]

@@ -51,7 +51,7 @@ def normalize(raw: DataFrame, as_of: str, in_scope_only: bool = True) -> DataFra
 def with_windowed_rules(jobs: DataFrame) -> DataFrame:
     """Adds pay and the degree flag, which look around their matches."""
     return jobs.withColumns({
-        "advanced_degree": windows.needs_advanced_degree("title", "description"),
+        "advanced_degree": windows.needs_advanced_degree(F.col("title"), F.col("description")),
         "pay": windows.extract_pay("description"),
     })
 

@@ -86,6 +86,15 @@ def _place(part: str) -> str:
     ], value[4])
 
 
+def _degree_in(text: str) -> str:
+    """Whether a degree is asked for with no bachelor's within 160 characters of it: each match is put back between the pieces around it."""
+    gaps, hits = f"regexp_split_to_array({text}, {lit(v.ADVANCED_DEGREE)})", f"regexp_extract_all({text}, {lit(v.ADVANCED_DEGREE)})"
+    before = f"right(array_to_string(list_transform(range(1, k + 1), lambda i: coalesce({hits}[i - 1], '') || {gaps}[i]), ''), 160)"
+    after = f"left(array_to_string(list_transform(range(k + 1, len({gaps}) + 1), lambda i: {gaps}[i] || coalesce({hits}[i], '')), ''), 160)"
+    near = f"list_transform(range(1, len({hits}) + 1), lambda k: {before} || {hits}[k] || {after})"
+    return f"coalesce(len(list_filter({near}, lambda w: NOT {rx('w', v.BACHELOR_OK)})) > 0, false)"
+
+
 def url_part(url: str, k: int) -> str:
     return f"coalesce(regexp_extract({url}, '(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?', {k}), '')"
 
@@ -95,11 +104,14 @@ def host_sql(url: str) -> str:
 
 
 def kept_sql(url: str, tracking: str) -> str:
-    return f"list_filter(string_split({url_part(url, 4)}, '&'), lambda p: instr(p, '=') > 1 AND NOT ends_with(p, '=') AND NOT regexp_matches(string_split(p, '=')[1], {lit(tracking)}))"
+    decoded = lambda text: f"url_decode(replace({text}, '+', ' '))"
+    pairs = f"list_filter(string_split({url_part(url, 4)}, '&'), lambda p: instr(p, '=') BETWEEN 1 AND length(p) - 1)"
+    named = f"list_transform({pairs}, lambda p: {{'k': {decoded('p[:instr(p, chr(61)) - 1]')}, 'v': {decoded('p[instr(p, chr(61)) + 1:]')}}})"
+    return f"list_filter({named}, lambda x: NOT regexp_matches(x.k, {lit(tracking)}))"
 
 
 def canonical_sql(url: str) -> str:
-    kept = f"list_sort({kept_sql(url, v.DEDUPE_TRACKING)})"
+    kept = f"list_sort(list_transform({kept_sql(url, v.DEDUPE_TRACKING)}, lambda x: x.k || '=' || x.v))"
     return (
         f"CASE WHEN coalesce({url}, '') = '' THEN '' ELSE lower({url_part(url, 1)}) || '://' || {host_sql(url)} || regexp_extract({url_part(url, 2)}, '(:[0-9]+)$', 1) || "
         f"regexp_replace({url_part(url, 3)}, '/+$', '') || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END END"
@@ -108,9 +120,11 @@ def canonical_sql(url: str) -> str:
 
 def strip_sql(url: str) -> str:
     kept, path = kept_sql(url, v.TRACKING), f"regexp_replace({url_part(url, 3)}, '/+$', '')"
+    names = f"list_transform({kept}, lambda x: x.k)"
+    by_name = f"list_transform(list_distinct({names}), lambda n: {{'at': list_position({names}, n), 'said': array_to_string(list_transform(list_filter({kept}, lambda x: x.k = n), lambda x: x.k || '=' || x.v), '&')}})"
     return (
         f"lower({url_part(url, 1)}) || '://' || lower({url_part(url, 2)}) || CASE WHEN {path} = '' THEN '/' ELSE {path} END || "
-        f"CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END"
+        f"CASE WHEN len({kept}) > 0 THEN '?' || array_to_string(list_transform(list_sort({by_name}), lambda x: x.said), '&') ELSE '' END"
     )
 
 
@@ -143,7 +157,7 @@ NORMALIZED_SQL = POSTINGS_SQL + f""", texts AS (
     {company_sql("company")} AS company_normalized,
     trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9 +#.]', ' ', 'g'), '\\s+', ' ', 'g')) AS title_normalized,
     {canonical_sql("url")} AS canonical_url, {_AGE} AS raw_age_days, CASE WHEN {_AGE} <= {v.PLAUSIBLE_AGE_DAYS} THEN {_AGE} END AS age_days,
-    contains(coalesce(description, ''), 'PhD required') AS advanced_degree
+    {rx("title", v.ADVANCED_DEGREE)} OR {_degree_in("description")} AS advanced_degree
   FROM skilled
 ), normalized AS (
   SELECT *, CASE WHEN employment_type = 'internship' THEN 0 ELSE read_min END AS min_yoe, CASE WHEN employment_type <> 'internship' THEN read_max END AS max_yoe, grad_years[1] AS grad_year

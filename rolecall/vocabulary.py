@@ -23,16 +23,13 @@ JUNIOR_TITLE = r"(?i)(\b(junior|jr\.?|graduate|grad|campus|university|early\s*ca
 SENIORITY = r"(?i)(\bsenior\b|\bsr\.?\b|\bstaff\b|\bprincipal\b|\blead\b|\bmanager\b|\bhead\s+of\b|\bdirector\b|\barchitect\b|\bcto\b|\bvp\b|\b(ii|iii|iv)\b|\b[2-9]\s*$)"
 
 # Graduation years.
-_SEASON = r"(?:spring|summer|fall|winter|dec(?:ember)?|jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?)\s+"
-_AND = r"\s*(?:,|/|-|–|or|and|to|&)\s*"
-_EARLY = r"(?:interns?|internships?|trainees?|graduates?|new\s*grads?|fresher)"
 GRAD_YEAR = r"202[4-9]"
 GRAD_PATTERNS = (
-    rf"(?i)\b(?:class\s+of|batch\s+of|batch|passing\s+out(?:\s+in)?|graduat(?:ing|e|ion|es)?|expected\s+grad(?:uation)?|target\s+grad(?:uation)?|degree\s+completion|graduation\s+date)\b[^\n.]{{0,100}}?(?:202[4-9])(?:{_AND}(?:{_SEASON})?202[4-9])*",
-    rf"(?i)\b(?:202[4-9])(?:{_AND}202[4-9])*\s*(?:batch|passouts?|pass\s*outs?|graduates?|grads?)\b",
-    r"(?i)\b(?:summer|winter|fall|spring)\s+202[4-9]\b",
-    rf"(?i)\b{_EARLY}\s*[-–/:]?\s*(?:[a-z/]+\s+){{0,2}}202[4-9]\b",
-    rf"(?i)\b202[4-9]\s*[-–/:]?\s*(?:[a-z/]+\s+){{0,2}}{_EARLY}\b",
+    r"(?i)\b(?:class\s+of|batch\s+of|batch|passing\s+out(?:\s+in)?|graduat(?:ing|e|ion|es)?|expected\s+grad(?:uation)?|target\s+grad(?:uation)?|degree\s+completion|graduation\s+date)\b[^\n.]{0,100}?((?:202[4-9])(?:\s*(?:,|/|-|–|or|and|to|&)\s*(?:(?:spring|summer|fall|winter|dec(?:ember)?|jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?)\s+)?202[4-9])*)",
+    r"(?i)\b((?:202[4-9])(?:\s*(?:,|/|-|–|or|and|to|&)\s*202[4-9])*)\s*(?:batch|passouts?|pass\s*outs?|graduates?|grads?)\b",
+    r"(?i)\b(?:summer|winter|fall|spring)\s+(202[4-9])\b",
+    r"(?i)\b(?:interns?|internships?|trainees?|graduates?|new\s*grads?|fresher)\s*[-–/:]?\s*(?:[a-z/]+\s+){0,2}(202[4-9])\b",
+    r"(?i)\b(202[4-9])\s*[-–/:]?\s*(?:[a-z/]+\s+){0,2}(?:interns?|internships?|trainees?|graduates?|new\s*grads?|fresher)\b",
 )
 
 # Degree, eligibility, pay.
@@ -40,11 +37,9 @@ ADVANCED_DEGREE = r"(?i)(\b(ph\.?\s?d|doctoral|doctorate|post[\s-]?doc\w*)\b|\b(
 BACHELOR_OK = r"(?i)\b(bachelor(?:'?s)?|b\.?\s?tech|b\.?\s?e\.?\b|b\.?\s?s\.?c?\b|bs\b|undergraduate|under[\s-]?grad|final[\s-]?year|pre[\s-]?final)\b"
 US_ONLY = r"(?i)(enrolled\s+(?:in|at)\s+(?:an?\s+)?(?:accredited\s+)?(?:us|u\.s\.|american)\s+(?:university|college|institution)|(?:us|u\.s\.)\s+citizen(?:ship)?\s*(?:is\s*)?(?:required|only)|must\s+be\s+(?:a\s+)?(?:us|u\.s\.)\s+citizen|(?:authorized|authorised|eligible)\s+to\s+work\s+in\s+the\s+(?:us|u\.s\.|united\s+states)\s*(?:without\s+sponsorship)?|work\s+authorization\s+in\s+the\s+(?:us|united\s+states))"
 UNPAID = r"(?i)\b(unpaid|no\s+stipend|without\s+stipend|stipend\s*[:\-]?\s*(?:none|nil|0|unpaid))\b"
-_MONEY = r"(?:₹|rs\.?|inr|usd|\$)\s*(\d[\d,.]{2,12})"
-_MONEY_TO = r"\s*(?:-|–|to)?\s*(?:(?:₹|rs\.?|inr|usd|\$)?\s*(\d[\d,.]{2,12}))?\s*(?:/|per\s+|a\s+)?\s*"
-PAY_MONTHLY = "(?i)" + _MONEY + _MONEY_TO + r"(?:month|mo\b|pm\b|monthly)"
+PAY_MONTHLY = r"(?i)(?:₹|rs\.?|inr|usd|\$)\s*([\d][\d,.]{2,12})\s*(?:-|–|to)?\s*(?:(?:₹|rs\.?|inr|usd|\$)?\s*([\d][\d,.]{2,12}))?\s*(?:/|per\s+|a\s+)?\s*(?:month|mo\b|pm\b|monthly)"
 PAY_LPA = r"(?i)(\d{1,3}(?:\.\d{1,2})?)\s*(?:-|–|to)?\s*(\d{1,3}(?:\.\d{1,2})?)?\s*(?:lpa|lakhs?\s*(?:per\s+annum|p\.?a\.?)?|l\.?p\.?a)"
-PAY_ANNUAL = "(?i)" + _MONEY + _MONEY_TO + r"(?:year|annum|yr\b|pa\b|annually)"
+PAY_ANNUAL = r"(?i)(?:₹|rs\.?|inr|usd|\$)\s*([\d][\d,.]{2,12})\s*(?:-|–|to)?\s*(?:(?:₹|rs\.?|inr|usd|\$)?\s*([\d][\d,.]{2,12}))?\s*(?:/|per\s+|a\s+)?\s*(?:year|annum|yr\b|pa\b|annually)"
 PAY_NEAR = r"(?i)stipend|salary|compensation|ctc|pay\b"
 
 # Work authorization, sponsorship, place.
@@ -52,8 +47,7 @@ SPONSORS = r"(?i)(visa\s+sponsorship\s+(is\s+)?(available|provided|offered)|(we|
 WORK_AUTH = r"(?i)(must\s+be\s+(legally\s+)?authoriz|authorized\s+to\s+work|work\s+authorization|no\s+visa\s+sponsorship|cannot\s+sponsor|unable\s+to\s+sponsor|not\s+able\s+to\s+sponsor|eligible\s+to\s+work\s+in\s+the\s+(us|united\s+states))"
 NO_SPONSOR = r"(?i)(no\s+visa\s+sponsorship|cannot\s+sponsor|unable\s+to\s+sponsor)"
 RELOCATION = r"(?i)relocation\s+(package|assistance|support|benefits?)"
-# The longer forms of the original alternation all hold one of these words.
-WORLDWIDE = r"(?i)(\b(worldwide|anywhere|global)\b|\bremote\s*[-–—/:,(]?\s*(?:international|all\s+locations)\b|\b100%\s+remote\b|\bremote\s*[-–—/]\s*(?:us|usa|europe|emea|apac|latam|india|\w+)?\s*(?:and|or|/|,)\s*international\b)"
+WORLDWIDE = r"(?i)\b(worldwide|anywhere|global|work\s+from\s+anywhere|hire\s+(?:from\s+)?anywhere|anywhere\s+in\s+the\s+world|fully\s+remote\s+worldwide|remote\s*[-–—/:,(]?\s*(?:worldwide|global|anywhere|international|all\s+locations)|(?:worldwide|global|anywhere)\s*[-–—/:,(]?\s*remote|100%\s+remote\s*(?:worldwide|global|anywhere)?|remote\s*[-–—/]\s*(?:us|usa|europe|emea|apac|latam|india|\w+)?\s*(?:and|or|/|,)\s*(?:worldwide|global|international|anywhere))\b"
 US_REMOTE = r"(?i)\bremote\s*\(?\s*(us|usa|united\s+states)\b"
 REMOTE = r"(?i)\b(remote|anywhere|worldwide|global|distributed|work\s+from\s+home|wfh)\b"
 ONSITE = r"(?i)\b(on-?site|in-?office|hybrid)\b"
