@@ -182,9 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 8
     ratio = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
     terms = _counted(rows, _terms_of, least).where((F.col("toxic") >= least) & (F.col("contexts") >= 0.7 * least) & (ratio >= lift)).select("term", F.log(ratio).alias("w"))
     weights = {r["term"]: r["w"] for r in terms.orderBy(F.desc("w"), "term").collect()}
-    # A beginning that says much less than a longer term only borrows from it.
-    weights = {t: w for t, w in weights.items() if not any(x.startswith(t) and weights[x] > w + 1 for x in weights)}
-    plain = Lexicon(weights, [], (0.0, 1.0, 0.0))
+    plain = Lexicon(_pruned(weights), [], (0.0, 1.0, 0.0))
     phrases = _counted(rows, _phrases_of(plain), 3).where("clean >= 3 and clean > toxic")
     found = plain._replace(exceptions=[r["term"] for r in phrases.orderBy(F.desc("clean"), "term").collect()])
     matcher = None
@@ -198,6 +196,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 8
     return found._replace(scale=_logistic(seen[:, 1:], seen[:, 0]))
 
 
+def _pruned(weights: dict[str, float]) -> dict[str, float]:
+    """The terms without those that begin a term of a weight more than 1 above theirs: such a beginning only borrows from it.
+
+    Whole words end with a space, so only beginnings can begin others; these have few
+    lengths, and the work grows with the terms, not with their pairs.
+    """
+    lengths = sorted({len(t) for t in weights if not t.endswith(" ")})
+    most: dict[str, float] = {}
+    for term, weight in weights.items():
+        for n in lengths:
+            if n < len(term):
+                begin = term[:n]
+                most[begin] = max(weight, most.get(begin, weight))
+    return {t: w for t, w in weights.items() if most.get(t, w) <= w + 1}
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[float, float, float]:
     """Logistic regression by Newton steps, both classes weighing the same."""
     x = np.column_stack([np.ones(len(x)), x])

@@ -155,3 +155,17 @@ def test_common_counts_equal_plain_intersections():
     got = words.common_counts(sets[:5], sets[5:], columns=7)
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
     assert words.common_counts([], sets).shape == (0, 12)
+
+
+def test_pruned_terms_equal_pairwise():
+    import random
+
+    from rolecall.llm import toxicity
+
+    deal = random.Random(3)
+    words = {"".join(deal.choices("ab", k=deal.randint(1, 9))) for _ in range(300)}
+    terms = sorted({t for w in words for t in toxicity.features(w)})
+    weights = {t: deal.choice([3.0, 3.5, 4.0, 4.5, 5.0]) for t in terms}
+    kept = {t: w for t, w in weights.items() if not any(x.startswith(t) and weights[x] > w + 1 for x in terms)}
+    assert toxicity._pruned(weights) == kept and 0 < len(kept) < len(terms)
+    assert toxicity._pruned({}) == {}
