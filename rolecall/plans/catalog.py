@@ -201,10 +201,14 @@ def dedupe_keys(spark, sf_dir):
     return postings(spark, sf_dir).select("source_job_id", t.normalize_company(c("company")).alias("company_normalized"), t.brand_name(c("company")).alias("brand"), t.normalize_title(c("title")).alias("title_normalized"), t.description_hash(c("title"), c("company"), c("description")).alias("description_hash"))
 
 
-@_query(f"SELECT page_id, {canonical_sql('url')} AS canonical, {strip_sql('url')} AS stripped, {host_sql('url')} AS host FROM pages")
+#: Query parts planted on page URLs: repeated, escaped, empty and tracking parameters.
+_PLANTED = "CASE page_id % 4 WHEN 0 THEN '?b=2&a=%26x+y&b=%C3%A9&utm%5Fid=1' WHEN 1 THEN '?q=1=&y=&mode=z&Ref=7#top' WHEN 2 THEN '/?z&=5&src=a&gh_jid=%2B' ELSE '' END"
+
+
+@_query(f"WITH planted AS (SELECT page_id, url || {_PLANTED} AS url FROM pages) SELECT page_id, {canonical_sql('url')} AS canonical, {strip_sql('url')} AS stripped, {host_sql('url')} AS host FROM planted")
 def canonical_urls(spark, sf_dir):
-    """Canonical forms of all page URLs."""
-    url = F.col("url")
+    """Canonical forms of all page URLs, with query parts planted on them."""
+    url = F.concat("url", F.expr(_PLANTED))
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", urls.canonical_url(url).alias("canonical"), urls.strip_tracking(url).alias("stripped"), urls.host_of(url).alias("host"))
 
 
