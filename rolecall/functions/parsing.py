@@ -73,9 +73,9 @@ def unescape(html: Column) -> Column:
 
 
 def html_to_text(html: Column, escaped: bool = True, by: str = "\n") -> Column:
-    """The text between tags, trimmed and joined ``by`` something; null if there is none. Scripts and styles are left out. ``escaped``: the markup itself may be escaped."""
-    plain = F.regexp_replace(unescape(html) if escaped else html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "<>")
-    parts = F.transform(F.split(plain, r"(?s)<[^>]*>"), lambda x: F.regexp_replace(unescape(x), r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
+    """The text between tags, trimmed and joined ``by`` something; null if there is none. Scripts and styles are left out; a ``<`` that begins no tag is text. ``escaped``: the markup itself may be escaped."""
+    plain = F.regexp_replace(unescape(html) if escaped else html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "<!>")
+    parts = F.transform(F.split(plain, r"(?s)<[A-Za-z/!?][^>]*>"), lambda x: F.regexp_replace(unescape(x), r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
     return text(F.regexp_replace(F.array_join(F.filter(parts, lambda x: x != ""), by), r"\n{3,}", "\n\n"))
 
 

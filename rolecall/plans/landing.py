@@ -29,6 +29,8 @@ _PLACES = ("Bengaluru, India", "Remote - Worldwide", "Berlin", "", None)
 _COMMITMENTS = ("Full-time", "Internship", "Contract", "Seasonal", None)
 _BRANCHES = ("Chennai, India", "", "London")
 _CITIES = ("Chennai", "Pune", "London")
+#: What these places mean, and no place.
+_BRANCH_REGIONS = ("india", "india", "europe", "unknown")
 
 
 def _query(sql: str | None):
@@ -97,7 +99,8 @@ def stream_landed_postings(spark, sf_dir):
 @_query(f"""WITH {_BOARD_SQL}, items AS (SELECT o_orderkey AS k, c FROM orders JOIN boards ON o_custkey = c AND status = 'ok' WHERE o_orderkey % 19 <> 0)
 SELECT 'b' || c || ':' || k AS source_job_id, {_sql_pick(TITLES, 'k')} AS title, CASE WHEN k % 4 = 3 THEN CASE WHEN k % 2 = 0 THEN NULL ELSE '· Remote' END
   ELSE coalesce(nullif({_sql_pick(_BRANCHES, 'k % 4')}, ''), {_sql_pick(_CITIES, 'k % 4')}) || CASE WHEN k % 2 = 1 THEN ' · Remote' ELSE '' END END AS place,
-  CASE WHEN k % 3 <> 2 THEN 'role ' || k % 3 END AS role, CASE WHEN k % 4 <> 3 THEN k % 4 <> 2 END AS in_india,
+  CASE WHEN k % 3 <> 2 THEN 'role ' || k % 3 END AS role, CASE WHEN k % 4 <> 3 THEN k % 4 <> 2 END AS in_india, {_sql_pick(_BRANCH_REGIONS, 'k % 4')} AS regions,
+  CASE WHEN k % 5 = 0 THEN 'https://jobs.example/' || k ELSE 'https://b' || c || '.freshteam.com/jobs' END AS url, CASE k % 5 WHEN 1 THEN 'Café crew' || chr(10) || 'Ship & sail ' || k WHEN 2 THEN 'plain ' || k END AS description,
   CASE WHEN {rx(_sql_pick(TITLES, 'k'), v.INTERN)} THEN 'internship' ELSE 'unknown' END AS employment_type_hint FROM items""")
 def src_joined_board(spark, sf_dir):
     """Postings of boards whose payload keeps branches and roles apart from the jobs."""
@@ -107,12 +110,14 @@ def src_joined_board(spark, sf_dir):
     def body(k):
         job = F.struct(
             k.cast("string").alias("id"), _pick(TITLES, k).alias("title"), (k % 4).cast("string").alias("branch_id"), (k % 3).cast("string").alias("job_role_id"),
-            (k % 2 == 1).alias("remote"), (k % 19 == 0).alias("deleted"),
+            (k % 2 == 1).alias("remote"), (k % 19 == 0).alias("deleted"), F.when(k % 5 == 0, F.concat(F.lit("https://jobs.example/"), k.cast("string"))).when(k % 5 == 1, "").alias("url"),
+            F.when(k % 5 == 1, F.concat(F.lit("<style>p {}</style><p>Caf&eacute; crew</p>\n<ul><li>Ship &#38; sail "), k.cast("string"), F.lit("</li></ul>")))
+            .when(k % 5 == 2, F.concat(F.lit("plain "), k.cast("string"))).when(k % 5 == 3, "<br>").alias("description"),
         )
         return F.to_json(F.struct(F.collect_list(job).alias("jobs"), branches.alias("branches"), roles.alias("job_roles")))
 
     found = landed.read_joined_board(_boards(spark, sf_dir, "freshteam", body))
-    return found.select("source_job_id", "title", F.trim("location_raw").alias("place"), F.try_element_at("tags", F.lit(1)).alias("role"), "in_india", "employment_type_hint")
+    return found.select("source_job_id", "title", F.trim("location_raw").alias("place"), F.try_element_at("tags", F.lit(1)).alias("role"), "in_india", F.array_join("hiring_regions_hint", ",").alias("regions"), "url", "description", "employment_type_hint")
 
 
 _SYNCED_SQL = f"""WITH {POSTINGS_SQL}, states AS (

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecall import vocabulary as v
-from rolecall.functions.parsing import parse_iso, utc
+from rolecall.functions.parsing import html_to_text, parse_iso, regions_from_text, utc, with_india
 from rolecall.functions.text import fit_id
 
 # Region by country code, employment type by commitment, words of a listing without borders.
@@ -31,7 +31,7 @@ _ARRAY_BOARD = (
     "country:string,workplaceType:string,createdAt:bigint,hostedUrl:string,applyUrl:string,descriptionPlain:string,description:string,additionalPlain:string>>"
 )
 _JOINED_BOARD = (
-    "struct<jobs:array<struct<id:string,title:string,branch_id:string,job_role_id:string,remote:boolean,deleted:boolean,url:string,created_at:string>>,"
+    "struct<jobs:array<struct<id:string,title:string,branch_id:string,job_role_id:string,remote:boolean,deleted:boolean,url:string,description:string,created_at:string>>,"
     "branches:array<struct<id:string,location:string,city:string,country_code:string>>,job_roles:array<struct<id:string,name:string>>>"
 )
 
@@ -120,6 +120,8 @@ def read_joined_board(responses: DataFrame) -> DataFrame:
     return held.where(_text(j["id"]).isNotNull() & ~F.coalesce(j["deleted"], F.lit(False))).select(
         F.col("connector").alias("source"), fit_id(F.concat_ws(":", "slug", j["id"])).alias("source_job_id"), "scope", title.alias("title"), F.col("slug").alias("company"),
         _text(F.concat(place, F.when(j["remote"], " · Remote").otherwise(""))).alias("location_raw"),
+        F.coalesce(_text(j["url"]), F.concat(F.lit("https://"), "slug", F.lit(".freshteam.com/jobs"))).alias("url"), html_to_text(j["description"]).alias("description"),
         F.array_compact(F.array(_text(F.try_element_at(F.col("roles"), j["job_role_id"])))).alias("tags"), (branch["country_code"] == "IN").alias("in_india"),
+        with_india(regions_from_text(place), branch["country_code"] == "IN", alone=True).alias("hiring_regions_hint"),
         F.when(title.rlike(v.INTERN), "internship").otherwise("unknown").alias("employment_type_hint"), parse_iso(j["created_at"]).alias("posted_at"),
     )

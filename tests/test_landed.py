@@ -30,6 +30,15 @@ def test_joined_board_gaps(spark):
     assert got == {"s0:1": (None, []), "s0:2": ("B · Remote", [])}
 
 
+def test_joined_board_texts_and_regions(spark):
+    body = """{"jobs": [{"id": 1, "branch_id": 4, "description": "<p>A &lt; B</p>"}, {"id": 2, "branch_id": 5, "url": "https://x.example/2"}, {"id": 3}, {"id": 4, "deleted": true}],
+        "branches": [{"id": 4, "location": "Paris, France", "country_code": "IN"}, {"id": 5, "location": "", "city": "Toronto", "country_code": "CA"}]}"""
+    got = {r.source_job_id: (r.url, r.description, r.hiring_regions_hint) for r in landed.read_joined_board(_responses(spark, (200, body))).collect()}
+    assert got == {
+        "s0:1": ("https://s0.freshteam.com/jobs", "A < B", ["india"]), "s0:2": ("https://x.example/2", None, ["canada"]), "s0:3": ("https://s0.freshteam.com/jobs", None, ["unknown"]),
+    }
+
+
 def test_prune_keeps_the_limit(spark):
     t = spark.sql("select timestamp_ntz'2026-10-18 00:00:00' as at union all select timestamp_ntz'2026-10-17 23:59:59'")
     assert store.prune(t, "at", "2026-11-01 00:00:00", 14).count() == 1
