@@ -28,6 +28,9 @@ _BARE = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=la
 #: Numbers that mean a sign of Windows-1252, where it has one.
 _WINDOWS = {str(c): bytes([c]).decode("cp1252", "ignore") or chr(c) for c in range(0x80, 0xA0)}
 
+#: Of a day; and the seconds before and after 1970 that a time can hold.
+_DAY_MICROS, _MOST_SECONDS = 86_400_000_000, 9_223_372_036_854
+
 REGIONS = "array<string>"
 
 
@@ -81,7 +84,9 @@ def html_to_text(html: Column, escaped: bool = True, by: str = "\n") -> Column:
 
 def utc(instant: Column) -> Column:
     """An instant as the time in UTC, whatever zone the session has."""
-    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.unix_micros(instant).cast("decimal(18,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(18,6)"))
+    micros = F.unix_micros(instant)
+    rest = (F.pmod(micros, F.lit(_DAY_MICROS)).cast("decimal(11,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.floor(micros / F.lit(_DAY_MICROS)).cast("int"), secs=rest)
 
 
 def parse_iso(value: Column) -> Column:
@@ -90,9 +95,16 @@ def parse_iso(value: Column) -> Column:
     return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), F.when(zoned, utc(value.try_cast("timestamp"))).otherwise(value.try_cast("timestamp_ntz")))
 
 
+def moment(value: Column, a_second: int = 1) -> Column:
+    """A count of seconds since 1970, or of so many parts of one, as a time; null beyond the times that there are."""
+    most = _MOST_SECONDS * a_second
+    whole = value.cast("bigint")
+    return F.when(whole.between(-most, most), utc(F.timestamp_micros(whole * F.lit(1_000_000 // a_second))))
+
+
 def seconds(value: Column) -> Column:
     """Seconds since 1970 as a time; 0 counts as absent."""
-    return F.when(value != 0, utc(F.timestamp_seconds(value)))
+    return F.when(value != 0, moment(value))
 
 
 def regions_of(*found: tuple[str, Column]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecall import vocabulary as v
-from rolecall.functions.parsing import html_to_text, parse_iso, regions_from_text, utc, with_india
+from rolecall.functions.parsing import html_to_text, moment, parse_iso, regions_from_text, with_india
 from rolecall.functions.text import fit_id
 
 # Region by country code, employment type by commitment, words of a listing without borders.
@@ -96,7 +96,7 @@ def read_array_board(responses: DataFrame) -> DataFrame:
         F.coalesce(_text(i["hostedUrl"]), i["applyUrl"], F.lit("")).alias("url"), F.coalesce(i["text"], F.lit("")).alias("title"), F.col("slug").alias("company"),
         F.coalesce(_text(i["descriptionPlain"]), _text(i["description"]), i["additionalPlain"], F.lit("")).alias("description"), _text(cats["location"]).alias("location_raw"),
         F.filter(F.array(cats["team"], commitment, workplace), lambda x: F.coalesce(x, F.lit("")) != "").alias("tags"),
-        F.when(i["createdAt"] != 0, utc(F.timestamp_millis(i["createdAt"]))).alias("posted_at"),
+        F.when(i["createdAt"] != 0, moment(i["createdAt"], 1000)).alias("posted_at"),
         F.when(F.size(regions) == 0, F.array(F.lit("unknown"))).otherwise(regions).alias("hiring_regions_hint"),
         F.coalesce(_lookup(COMMITMENT, F.coalesce(commitment, F.lit(""))), F.lit("unknown")).alias("employment_type_hint"),
     )
