@@ -81,7 +81,7 @@ def _google(i: Column) -> dict[str, Column]:
     at = _at(_strings(_at(i, 12)), 0).try_cast("bigint")
     return {
         "source_job_id": _at(i, 0), "url": F.concat(F.lit(GOOGLE_URL + "/"), _at(i, 0), F.lit("-"), slugify(_at(i, 1))), "title": _at(i, 1), "company": F.coalesce(_at(i, 7), F.lit("Google")),
-        "description": text(F.array_join(F.array_compact(F.array(*parts)), "\n\n")), "location_raw": text(joined), "posted_at": F.when(F.abs(at) < 253402300800, p.utc(F.timestamp_seconds(at))),
+        "description": text(F.array_join(F.array_compact(F.array(*parts)), "\n\n")), "location_raw": text(joined), "posted_at": p.moment(at),
         "hiring_regions_hint": p.with_india(p.regions_from_text(joined), F.exists(places, lambda x: F.coalesce(_at(x, 5) == "IN", F.lit(False))), alone=False), "employment_type_hint": _intern(_at(i, 1), pattern=GOOGLE_INTERN),
     }
 

@@ -16,7 +16,7 @@ def far(duck, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["src_array_board", "stream_landed_postings"])
+@pytest.mark.parametrize("name", ["src_array_board", "stream_landed_postings", "src_google"])
 def test_far_times_equal_sql(spark, far, name):
     import duckdb
 
