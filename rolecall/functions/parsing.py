@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -69,10 +70,24 @@ def _resolved(piece: Column) -> Column:
 
 def unescape(html: Column) -> Column:
     """Resolves the character references of HTML 5, one level at a time: by number, by name, and the old names without a semicolon."""
-    for reference, sign in _COMMON.items():
-        html = F.replace(html, F.lit(reference), F.lit(sign))
-    pieces = F.split(html, "&")
-    return F.when(html.contains("&"), F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _resolved), ""))).otherwise(html)
+    def common(h: Column) -> Column:
+        for reference, sign in _COMMON.items():
+            h = F.replace(h, F.lit(reference), F.lit(sign))
+        return h
+
+    def rest(h: Column) -> Column:
+        pieces = F.split(h, "&")
+        return (
+            F.when(~h.contains("&"), h).when(~h.rlike("&(?!amp;)"), F.replace(h, F.lit("&amp;"), F.lit("&")))
+            .otherwise(F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _resolved), "")))
+        )
+
+    return _once(html, lambda h: F.when(~h.contains("&"), h).otherwise(_once(common(h), rest)))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a lambda's argument is a variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def html_to_text(html: Column, escaped: bool = True, by: str = "\n") -> Column:

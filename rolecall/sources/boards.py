@@ -465,6 +465,11 @@ def _items(source: Source, body: Column, rss: bool = False) -> Column:
     return F.when(body.rlike(rf"^\s*{starts}"), found)
 
 
+def with_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row, however often it is used: no filter or projection is merged with what an explode gives."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def status(responses: DataFrame, connector: str) -> DataFrame:
     """The source's responses with ``items`` and ``status``: no_board (404, 410), failed (other codes, or a payload of another shape), empty or ok."""
     return status_of(responses, connector, SOURCES[connector], connector in RSS)
@@ -473,8 +478,8 @@ def status(responses: DataFrame, connector: str) -> DataFrame:
 def status_of(responses: DataFrame, connector: str, source: Source, rss: bool = False) -> DataFrame:
     """As ``status``, of a source that is given."""
     own = responses.where(F.col("connector") == connector)
-    cut = source.cut(F.col("body")) if source.cut else F.col("body")
-    own = own.withColumn("cut", cut).withColumn("items", _items(source, F.col("cut"), rss))
+    own = with_once(own, "cut", source.cut(F.col("body"))) if source.cut else own.withColumn("cut", F.col("body"))
+    own = with_once(own, "items", _items(source, F.col("cut"), rss))
     return own.withColumn(
         "status",
         F.when(F.col("http_code").isin(404, 410), "no_board").when((F.coalesce(F.col("http_code"), F.lit(0)) != 200) | F.col("body").isNull(), "failed").when(F.col("cut").isNull(), source.without).when(F.col("items").isNull(), "failed")

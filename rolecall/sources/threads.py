@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.functions import parsing as p
+from rolecall.sources.boards import with_once
 
 # What divides a header, what a role and a place look like, and the limits of a header, its parts, a comment and a thread's age.
 DIVIDERS = r"\s*(?:\||–|—| - |•)\s*"
@@ -51,8 +52,9 @@ def read_comments(comments: DataFrame, threads: DataFrame) -> DataFrame:
     ``threads`` is one row at most, so Spark broadcasts it.
     """
     body = F.coalesce(p.html_to_text(F.col("comment_text"), escaped=False, by=" "), F.lit(""))
-    top = comments.join(threads, F.col("parent_id") == F.col("thread"), "left_semi").withColumn("body", body).where(F.length("body") >= LEAST_CHARS)
-    found = top.withColumn("h", split_header(F.col("body"))).where("h.company <> '' and h.role <> ''")
+    top = comments.join(threads, F.col("parent_id") == F.col("thread"), "left_semi")
+    top = with_once(top, "body", body).where(F.length("body") >= LEAST_CHARS)
+    found = with_once(top, "h", split_header(F.col("body"))).where("h.company <> '' and h.role <> ''")
     link = F.regexp_extract("comment_text", LINK, 0)
     return found.select(
         F.lit("hn_hiring").alias("source"), F.col("object_id").alias("source_job_id"), F.when(link != "", link).otherwise(F.concat(F.lit("https://news.ycombinator.com/item?id="), "object_id")).alias("url"),
