@@ -498,19 +498,27 @@ def _verified(mixed: DataFrame, classes: DataFrame, texts: DataFrame, levels, sl
     close = f"l.hi >= {t} * r.lo - 1e-9"
     heads = lambda rows: rows.groupBy("word", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     postings = stage_table(kind(POSTING, "word", "ref", "parity", "rest", "size", "place").distinct())
-    hot = stage_table(blocks_by_size(postings, "word", "ref", F.lit(1), limits.postings))
-    hot = attend(hot, meetings(heads(hot), "word", close), "word").groupBy("word", "own", "other").agg(F.collect_list(F.struct("block", "ref", "parity", "rest", "size", "place")).alias("rows"))
+    drop_stage(mixed, f"kind={POSTING}")
+    placed = stage_table(blocks_by_size(postings, "word", "ref", F.lit(1), limits.postings))
+    drop_stage(postings)
+    hot = attend(placed, meetings(heads(placed), "word", close), "word").groupBy("word", "own", "other").agg(F.collect_list(F.struct("block", "ref", "parity", "rest", "size", "place")).alias("rows"))
     found = hot.mapInArrow(_hot_members(t), "word long, ref long, size long")
     weight = F.greatest(8 * F.col("size"), F.lit(limits.set_bytes // limits.sets))
-    dense = stage_table(kind(DENSE, "word", "ref", "size").unionByName(found).distinct())
-    smallest = stage_table(dense.groupBy("word").agg(F.min("ref").alias("least"), F.count("*").alias("n_rows")))
-    dense = stage_table(join_hot(dense, smallest, "word").groupBy(F.col("least").alias("word"), "ref", "size").agg(F.collect_list("word").alias("by")))
-    dense = stage_table(blocks_by_size(dense, "word", "ref", weight, limits.set_bytes))
+    members = stage_table(kind(DENSE, "word", "ref", "size").unionByName(found).distinct())
+    drop_stage(mixed, f"kind={DENSE}")
+    drop_stage(placed)
+    smallest = stage_table(members.groupBy("word").agg(F.min("ref").alias("least"), F.count("*").alias("n_rows")))
+    grouped = stage_table(join_hot(members, smallest, "word").groupBy(F.col("least").alias("word"), "ref", "size").agg(F.collect_list("word").alias("by")))
+    drop_stage(members)
+    dense = stage_table(blocks_by_size(grouped, "word", "ref", weight, limits.set_bytes))
+    drop_stage(grouped)
     dense_meetings = meetings(heads(dense), "word", close)
 
     pairs = stage_table(kind(PAIR, "word", "a", "b", "size_a", "size_b").groupBy("a", "b", "size_a", "size_b").agg(F.collect_set("word").alias("words")))
+    drop_stage(mixed, f"kind={PAIR}")
     least_of = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("least"))
     keyed = stage_table(pairs.join(least_of, "a", "left").withColumn("word", F.coalesce("least", "a")).drop("least"))
+    drop_stage(pairs)
     ends = keyed.select("word", F.explode(F.array(F.struct(F.col("a").alias("ref"), F.col("size_a").alias("size")), F.struct(F.col("b").alias("ref"), F.col("size_b").alias("size")))).alias("end")).select("word", "end.*").distinct()
     spread = stage_table(ends.groupBy("word").agg(F.ceil(F.sum(weight) / limits.set_bytes).cast("long").alias("n")))
     block = lambda c: F.pmod(F.xxhash64(c), "n")
