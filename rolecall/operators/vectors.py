@@ -58,13 +58,15 @@ def _links(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, other, rows in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                rows.sort(key=lambda r: r["id"])
-                ids = np.array([r["id"] for r in rows], np.int64)
-                unit = np.array([r["vector"] for r in rows], np.float64)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                left = np.array([r["block"] == own for r in rows])
-                right = np.ones(len(rows), bool) if own == other else ~left
+            # A meeting's vectors stay in Arrow's memory until its turn, and never become Python's numbers.
+            for own, other, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                rows = held.values
+                ids = rows.field("id").to_numpy()
+                order = np.argsort(ids)
+                ids, left = ids[order], rows.field("block").to_numpy()[order] == own
+                unit = rows.field("vector").flatten().to_numpy().reshape(len(ids), -1)[order]
+                unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+                right = np.ones(len(ids), bool) if own == other else ~left
                 a, b = np.flatnonzero(left), np.flatnonzero(right)
                 for k in range(0, len(a), 512):
                     i, j = np.nonzero(unit[a[k : k + 512]] @ unit[b].T >= similarity)
