@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolecall.staging import stage_table
+
 _KEY = ("source", "source_job_id")
 
 
@@ -14,9 +16,10 @@ def fingerprint(*columns: str) -> Column:
 
 
 def _scopes(scopes: DataFrame | list[str] | None, like: DataFrame, name: str) -> DataFrame:
-    """``scope`` and a column ``name`` that is true; scopes may be many, so they are a table, which Spark broadcasts if it is small."""
+    """``scope`` and a column ``name`` that is true; scopes may be many, so they are a table. It is staged: Spark then knows its size and
+    broadcasts it if it is small, where an estimate by what it was read from would shuffle all jobs by their few scopes."""
     table = scopes if isinstance(scopes, DataFrame) else like.sparkSession.createDataFrame([(s,) for s in scopes or ()], "scope string")
-    return table.select(F.col("scope").alias("at_scope")).where("at_scope is not null").distinct().withColumn(name, F.lit(True))
+    return stage_table(table.select(F.col("scope").alias("at_scope")).where("at_scope is not null").distinct().withColumn(name, F.lit(True)))
 
 
 def sync_actions(stored: DataFrame, wanted: DataFrame, covered: DataFrame | list[str] | None, known: DataFrame | list[str] | None, full: bool) -> DataFrame:
