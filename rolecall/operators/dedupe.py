@@ -50,8 +50,8 @@ def dedupe(jobs: DataFrame, score: Column | None = None, rounds: int = ROUNDS, m
             continue
         first = open_
         for group in ("by_url", "by_key"):
-            first = _with_least(first, open_, group, f"first_{group}")
-        kept = stage_table(first.where("(by_url is null or rank = first_by_url) and (by_key is null or rank = first_by_key)").select("ordinal", "rank", "by_url", "by_key"))
+            first = first.join(_firsts(open_, group), "ordinal", "left")
+        kept = stage_table(first.where("(by_url is null or first_by_url) and (by_key is null or first_by_key)").select("ordinal", "rank", "by_url", "by_key"))
         hidden = open_.join(kept.select("ordinal"), "ordinal", "left_anti")
         for group in ("by_url", "by_key"):
             hidden = _with_least(hidden, kept, group, f"kept_{group}")
@@ -107,12 +107,20 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.int64())], names=["ordinal", "incumbent"])
 
 
+def _firsts(rows: DataFrame, group: str) -> DataFrame:
+    """``ordinal`` of each group's first row, and a column that is true: rows find their mark by ``ordinal``, so no task gets a group, or all rows without one."""
+    least = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.min("rank").alias("least"))
+    return least.select(F.col("least.ordinal").alias("ordinal"), F.lit(True).alias(f"first_{group}"))
+
+
 def _with_least(rows: DataFrame, among: DataFrame, group: str, name: str) -> DataFrame:
-    """Adds the least rank of the group's rows in ``among``; null where there is none."""
+    """Adds the least rank of the group's rows in ``among``; null where there is none. Rows without a group are set apart, as a shuffle would put all of them into one task."""
     named = "struct<p:int,s:double,d:int,ordinal:bigint>"
     least = among.where(F.col(group).isNotNull()).groupBy(group).agg(F.min("rank").alias("least")).select(group, F.col("least").cast(named).alias(name))
     sizes = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n_rows"))
-    return join_hot(rows.withColumn("rank", F.col("rank").cast(named)), stage_table(least.join(sizes, group)), group, "left")
+    rows = rows.withColumn("rank", F.col("rank").cast(named))
+    found = join_hot(rows.where(F.col(group).isNotNull()), stage_table(least.join(sizes, group)), group, "left")
+    return found.unionByName(rows.where(F.col(group).isNull()).withColumn(name, F.lit(None).cast(named)))
 
 
 def survivors(marked: DataFrame, score: Column | None = None) -> DataFrame:
