@@ -11,6 +11,7 @@ from rolecall.functions.parsing import text
 from rolecall.sources import search
 from rolecall.sources.boards import Source, _intern, _some, read_source, status_of
 from rolecall.sources.pages import STRINGS, _cut, _named, _strip
+from rolecall.staging import dealt
 
 # Places in India and places that a fenced remote role may name, recent batches, where pages keep what they need, and addresses.
 YC_INDIA = r"(?i)(,\s*IN\b|\bIndia\b|Bengaluru|Bangalore|Hyderabad|Gurugram|Gurgaon|Mumbai|Pune|Chennai|Noida|Delhi)"
@@ -164,8 +165,12 @@ def startups(listed: DataFrame, hiring_only: bool = True) -> DataFrame:
 
 
 def startup_index(companies: DataFrame, recent_only: bool = False) -> DataFrame:
-    """``variant, yc_name, yc_batch, team_size, yc_locations, yc_one_liner``: of each name that a board may have, the company with the smallest team, then the first listed."""
-    pool = companies.where("is_recent") if recent_only else companies
+    """``variant, yc_name, yc_batch, team_size, yc_locations, yc_one_liner``: of each name that a board may have, the company with the smallest team, then the first listed.
+
+    A company makes several rows that are sorted by name, so companies are dealt first:
+    a list is a small file, and would be few tasks that sort many times what they read.
+    """
+    pool = dealt(companies.where("is_recent") if recent_only else companies, "ordinal", "slug")
     size = F.coalesce(F.nullif("team_size", F.lit(0)), F.lit(9999))
     meta = F.struct(F.col("name").alias("yc_name"), F.col("batch").alias("yc_batch"), "team_size", F.col("locations").alias("yc_locations"), F.substring("one_liner", 1, 200).alias("yc_one_liner"))
     each = pool.select(F.posexplode("variants").alias("k", "variant"), size.alias("size"), "ordinal", meta.alias("meta"))
