@@ -33,8 +33,14 @@ def sync_actions(stored: DataFrame, wanted: DataFrame, covered: DataFrame | list
     or misses. An empty scope is judged whenever anything was covered. ``covered`` and
     ``known`` are tables with a column ``scope``, or lists.
     """
-    last = wanted.groupBy(*_KEY).agg(F.max_by(F.struct("scope", "fingerprint"), "ordinal").alias("new"))
-    both = stored.select(*_KEY, F.struct("scope", "fingerprint", "missed_runs").alias("old")).join(last, list(_KEY), "full_outer")
+    few = stored.select(*_KEY, "scope", "fingerprint", "missed_runs"), wanted.select(*_KEY, "scope", "fingerprint", "ordinal")
+    return judged(*few, covered, known, full).select(*_KEY, "action", "missed_runs")
+
+
+def judged(stored: DataFrame, wanted: DataFrame, covered: DataFrame | list[str] | None, known: DataFrame | list[str] | None, full: bool) -> DataFrame:
+    """``sync_actions`` with ``old`` and ``new``: the other columns of each key's stored and last wanted row, so that ``applied`` needs no join."""
+    last = wanted.groupBy(*_KEY).agg(F.max_by(F.struct(*(c for c in wanted.columns if c not in _KEY)), "ordinal").alias("new"))
+    both = stored.select(*_KEY, F.struct(*(c for c in stored.columns if c not in _KEY)).alias("old")).join(last, list(_KEY), "full_outer")
     old, new = F.col("old"), F.col("new")
     scope = F.coalesce(old["scope"], F.lit(""))
     missed = F.coalesce(old["missed_runs"], F.lit(0))
@@ -50,9 +56,20 @@ def sync_actions(stored: DataFrame, wanted: DataFrame, covered: DataFrame | list
         .when(new.isNotNull(), F.when((old["fingerprint"] != new["fingerprint"]) | (missed > 0), "update").otherwise("skip"))
         .when(retired, "retired").when(~judged, "uncovered").when(missed + 1 >= (1 if full else 2), "close").otherwise("miss")
     )
-    found = both.select(*_KEY, action.alias("action"), missed.alias("before"))
+    found = both.select(*_KEY, action.alias("action"), missed.alias("before"), "old", "new")
     after = F.when(F.col("action").isin("insert", "update"), 0).when(F.col("action") == "miss", F.col("before") + 1).otherwise(F.col("before"))
-    return found.select(*_KEY, "action", after.cast("int").alias("missed_runs"))
+    return found.select(*_KEY, "action", after.cast("int").alias("missed_runs"), "old", "new")
+
+
+def applied(marked: DataFrame, columns: list[str], as_of: str) -> DataFrame:
+    """The table after the sync, as by ``apply_sync``, out of what ``judged`` gave: rows already hold both sides."""
+    now, fresh = F.lit(as_of).cast("timestamp_ntz"), F.col("action").isin("insert", "update")
+    told = {
+        "missed_runs": F.col("missed_runs"), "first_seen_at": F.when(fresh, F.coalesce("old.first_seen_at", now)).otherwise(F.col("old.first_seen_at")),
+        "last_seen_at": F.when(fresh, now).otherwise(F.col("old.last_seen_at")), **{c: F.when(~fresh, F.col(f"old.{c}")) for c in ("link_status", "link_checked_at")},
+    }
+    kept = marked.where(f"action not in ('close', 'retired') and {' and '.join(f'{c} is not null' for c in _KEY)}")
+    return kept.select(*((F.col(c) if c in _KEY else told.get(c, F.when(fresh, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")))).alias(c) for c in columns))
 
 
 def apply_sync(stored: DataFrame, wanted: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:

@@ -75,11 +75,11 @@ def sync_sources(spark: SparkSession, path: str, schema: str, wanted: DataFrame,
     """
     ran, wanted = stage_table(wanted.select("source").distinct()), wanted.where("source_job_id is not null")
     before = load(spark, path, schema).join(F.broadcast(ran), "source", "left_semi")
-    actions = stage_table(sync.sync_actions(before, wanted, covered, known, full))
+    actions = stage_table(sync.judged(before, wanted, covered, known, full))
     tally = {"new": ("insert",), "updated": ("update",), "deleted": ("close", "retired"), "missed": ("miss",)}
-    found = stage_table(ran.join(actions, "source", "left").groupBy("source").agg(*(F.count_if(F.coalesce(F.col("action").isin(*a), F.lit(False))).alias(c) for c, a in tally.items())))
+    found = stage_table(ran.join(actions.select("source", "action"), "source", "left").groupBy("source").agg(*(F.count_if(F.coalesce(F.col("action").isin(*a), F.lit(False))).alias(c) for c, a in tally.items())))
     changed = found.where("new + updated + deleted + missed > 0").drop("missed")
-    commit_run(sync.apply_sync(before, wanted, actions, as_of), changed, path)
+    commit_run(sync.applied(actions, before.columns, as_of), changed, path)
     return found.drop("missed")
 
 

@@ -30,8 +30,8 @@ def sync_available(spark: SparkSession, landed: str, out: str, checkpoint: str,
         before, wanted = version(batch_id - 1), batch.where("source_job_id is not null")
         nothing = [F.lit(None).cast(kind).alias(name) for name, kind in spark.createDataFrame([], TABLE).dtypes[5:]]
         wanted = wanted.select("*", *nothing)
-        actions = sync.sync_actions(before, wanted, batch.where("source_job_id is null"), known, full)
-        sync.apply_sync(before, wanted, actions, as_of).write.mode("overwrite").parquet(f"{out}/{batch_id:09d}")
+        marked = sync.judged(before, wanted, batch.where("source_job_id is null"), known, full)
+        sync.applied(marked, before.columns, as_of).write.mode("overwrite").parquet(f"{out}/{batch_id:09d}")
         last[0] = batch_id
 
     stream = spark.readStream.schema(RUN).parquet(landed)
