@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,7 +38,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
-        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
         with open(ranks, "rb") as f:
             known = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
         self._ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
@@ -46,24 +49,26 @@ class WordTokenizer:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         split = [t.split(" ") for t in texts]
         used = set().union(*(x[1:] for x in split))
-        bad = {w for w in used if self._bad(w)}
-        new = [w for w in used if w not in self._ids and w not in bad]
+        fresh = used.difference(self._ids)  # words in the cache are good ones
+        bad = {w for w in fresh if self._bad(w)}
+        new = fresh - bad
         if len(self._ids) + len(new) > CACHED_WORDS:
             self._ids = {w: i for w, i in self._ids.items() if w in used}
         one = self._ranks.encode_ordinary
         for w in new:
-            self._ids[w] = np.array(one(" " + w), dtype="<u4").tobytes()
+            ids = one(" " + w)
+            self._ids[w] = struct.pack(f"<{len(ids)}I", *ids)
         get = self._ids.__getitem__
         for text, words in zip(texts, split, strict=True):
             if not text:
                 yield b""
-            elif self._bad(words[0]) or not bad.isdisjoint(words[1:]):
+            elif self._bad(words[0]) or bad and not bad.isdisjoint(words[1:]):
                 yield np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
             else:
                 yield np.array(one(words[0]), dtype="<u4").tobytes() + b"".join(map(get, words[1:]))
 
     def _bad(self, word: str) -> bool:
-        return not word or word[0].isspace() or word[-1].isspace() or any(s in word for s in self._special)
+        return not word or word[0].isspace() or word[-1].isspace() or self._special(word) is not None
 
 
 class SumOfSquares:
