@@ -28,6 +28,10 @@ REMEMBERED = 1 << 18
 GATHERED = 1 << 19
 #: Meetings and words of them, about 50 bytes each, that are broadcast with the lines that attend; more are joined by a shuffle.
 MOST_BROADCAST = 1 << 20
+#: Words of a line from which its postings carry 256 further bits, as 96 tell long lines no longer apart.
+WIDE = 128
+#: Words of 64 bits of the filter of wanted lines, at most. Beyond some 30 million lines more pass than are wanted, which costs shuffle, not results.
+MOST_FILTER = 1 << 24
 
 #: Kinds of rows: places, packed postings, postings of frequent words, pairs, members of dense groups.
 PLACE, PACKED, POSTING, PAIR, DENSE = range(5)
@@ -104,6 +108,14 @@ class Lines:
                 part[some] = np.bitwise_xor.reduceat(np.where(mine, one, np.uint64(0)), self.first[some])
         return out
 
+    def wider(self) -> tuple[np.ndarray, np.ndarray]:
+        """256 further bits of each line of ``WIDE`` words or more, flipped likewise, and each line's row in them, or -1."""
+        wide = self.size >= WIDE
+        row = np.where(wide, np.cumsum(wide) - 1, -1)
+        mine = wide[self.line]
+        flips = np.bincount(row[self.line[mine]] << 8 | (self._mixed[mine] & np.uint64(255)).astype(np.int64), minlength=int(wide.sum()) << 8)
+        return np.packbits((flips & 1).astype(np.uint8)).view(np.uint64).reshape(-1, 4), row
+
 
 def overlap_needed(x, y, t: float = 0.8):
     """Least common words of sets of sizes x and y with a Jaccard similarity of t."""
@@ -147,20 +159,21 @@ def word_key(words: np.ndarray, slots: int) -> np.ndarray:
     return (words % np.uint64(1 << 32) % np.uint64(slots) << np.uint64(32) | words >> np.uint64(32)).view(np.int64)
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
-    """Postings, by code, as compressed bytes: the codes' differences, and the sizes' and places' bytes in planes of their own."""
+def _pack(columns: list[np.ndarray], wider: np.ndarray) -> bytes:
+    """Postings, by code, as compressed bytes: the codes' differences, the sizes' and places' bytes in planes of their own, and the further bits of wide lines."""
     columns = [np.diff(columns[0], prepend=0), *columns[1:]]
     parts = [c.astype(f) for c, f in zip(columns, _FIELDS, strict=True)]
-    return len(parts[0]).to_bytes(4, "little") + _ZSTD.compress(b"".join([*(c.tobytes() for c in parts[:4]), *(c.view(np.uint8).reshape(-1, 2).T.tobytes() for c in parts[4:])]), asbytes=True)
+    held = b"".join([*(c.tobytes() for c in parts[:4]), *(c.view(np.uint8).reshape(-1, 2).T.tobytes() for c in parts[4:]), wider.tobytes()])
+    return len(parts[0]).to_bytes(4, "little") + len(wider).to_bytes(4, "little") + _ZSTD.compress(held, asbytes=True)
 
 
 def _unpack(raw: bytes) -> list[np.ndarray]:
-    n, at, parts = int.from_bytes(raw[:4], "little"), 0, []
-    data = _ZSTD.decompress(raw[4:], n * sum(np.dtype(f).itemsize for f in _FIELDS), asbytes=True)
+    n, n_wide, at, parts = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little"), 0, []
+    data = _ZSTD.decompress(raw[8:], n * sum(np.dtype(f).itemsize for f in _FIELDS) + 32 * n_wide, asbytes=True)
     for k, f in enumerate(map(np.dtype, _FIELDS)):
         parts.append(np.frombuffer(data, f, n, at) if k < 4 else np.ascontiguousarray(np.frombuffer(data, np.uint8, 2 * n, at).reshape(2, n).T).view(f)[:, 0])
         at += n * f.itemsize
-    return [np.cumsum(parts[0], dtype=np.uint64), *parts[1:]]
+    return [np.cumsum(parts[0], dtype=np.uint64), *parts[1:], np.frombuffer(data, np.uint64, 4 * n_wide, at).reshape(-1, 4)]
 
 
 def _scatter(levels, hot_level: int, slots: int, least: int, t: float):
@@ -178,16 +191,19 @@ def _scatter(levels, hot_level: int, slots: int, least: int, t: float):
             return pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["slot", "kind", "data"])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            *columns, wider = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             if not len(columns[0]):
                 return
             order = np.argsort(columns[0])
+            wide = columns[4] >= WIDE
+            wider = wider[(np.cumsum(wide) - 1)[order[wide[order]]]]
+            upto = np.concatenate([[0], np.cumsum(wide[order])])
             columns = [c[order] for c in columns]
             slot = columns[0] >> 32
             cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1), len(slot)]
             columns[0] &= 0xFFFFFFFF
-            data = [_pack([c[x:y] for c in columns]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            data = [_pack([c[x:y] for c in columns], wider[upto[x] : upto[y]]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
             yield packed([int(slot[x]) for x in cuts[:-1]], [PACKED] * len(data), data)
 
         for batch in batches:
@@ -216,7 +232,8 @@ def _scatter(levels, hot_level: int, slots: int, least: int, t: float):
                 hot = (levels.value[_counter(words, len(levels.value))] >= hot_level) | (rows[4] > 0xFFFF)
                 if hot.any():
                     yield packed([spread % slots], [POSTING], [np.stack([c[hot].astype(np.uint64).view(np.int64) for c in rows]).tobytes()])
-                held.append([c[~hot] for c in rows])
+                wider, row = lines.wider()
+                held.append([*(c[~hot] for c in rows), wider[row[of[~hot & (rows[4] >= WIDE)]]]])
                 if sum(len(h[0]) for h in held) > GATHERED:
                     yield from flush()
         if held:
@@ -225,8 +242,8 @@ def _scatter(levels, hot_level: int, slots: int, least: int, t: float):
     return run
 
 
-def _alike(word, size, place, parity, rest, ref, t: float, side=None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of postings of a word that pass the length, position and parity filters; they come by word and size. side: pairs of one side are left out."""
+def _alike(word, size, place, parity, rest, ref, t: float, side=None, wider=None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of postings of a word that pass the length, position and parity filters; they come by word and size. side: pairs of one side are left out. wider: the further bits of wide lines, and each posting's row in them."""
     left, right = [], []
     active = np.arange(len(word))
     k = 0
@@ -242,9 +259,14 @@ def _alike(word, size, place, parity, rest, ref, t: float, side=None) -> tuple[n
         # A pair counts at its rarest common word alone, so all it shares lies from there on in both.
         ok = (np.minimum(size[active] - place[active], size[j] - place[j]) >= need) & (np.bitwise_count(parity[active] ^ parity[j]) + np.bitwise_count(rest[active] ^ rest[j]) <= size[active] + size[j] - 2 * need)
         i, j = active[ok], j[ok]
+        need = need[ok]
         ok = ref[i] != ref[j]
         if side is not None:
             ok &= side[i] != side[j]
+        if wider is not None:
+            bits, row = wider
+            both = np.flatnonzero(ok & (row[i] >= 0) & (row[j] >= 0))
+            ok[both] = np.bitwise_count(bits[row[i[both]]] ^ bits[row[j[both]]]).sum(1) <= size[i[both]] + size[j[both]] - 2 * need[both]
         left.append(i[ok])
         right.append(j[ok])
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
@@ -260,11 +282,18 @@ def _candidates(sparse: int, t: float):
     """Reads packed rows by slot. Gives places and postings of frequent words as they are, and pairs of postings or, of dense groups, their members."""
 
     def judge(slot: int, data: list[bytes]) -> Iterator[pa.RecordBatch]:
-        code, ref, parity, rest, size, place = (np.concatenate(x) for x in zip(*map(_unpack, data), strict=True))
-        order = np.argsort(code << np.uint64(16) | size)
-        code, ref, parity, rest = code[order], ref[order], parity[order], rest[order]
-        size, place = size[order].astype(np.int64), place[order].astype(np.int64)
-        left, right = _alike(code, size, place, parity, rest, ref, t)
+        *columns, bits = (np.concatenate(x) for x in zip(*map(_unpack, data), strict=True))
+        code, ref, _, _, size, _ = columns
+        wide = size >= WIDE
+        row = np.where(wide, np.cumsum(wide) - 1, -1)
+        order = np.argsort(code << np.uint64(32) | size.astype(np.uint64) << np.uint64(16) | ref.view(np.uint64) & np.uint64(0xFFFF))
+        # Each task that met a class sent its postings; one of equal ones stays, else copies would count as their square.
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+        order = order[fresh]
+        code, ref, parity, rest, size, place = (c[order] for c in columns)
+        size, place = size.astype(np.int64), place.astype(np.int64)
+        left, right = _alike(code, size, place, parity, rest, ref, t, wider=(bits, row[order]))
         group = np.cumsum(np.concatenate([[0], (code[1:] != code[:-1]).astype(np.int64)]))
         dense = np.bincount(group[left], minlength=len(code)) > sparse * np.bincount(group, minlength=len(code))
         word = code.astype(np.int64) | slot << 32
@@ -335,6 +364,67 @@ def _sets(levels):
     return run
 
 
+def _keys(ids: np.ndarray, line: np.ndarray | None = None) -> np.ndarray:
+    """What the filter holds of a document or of a line of it."""
+    doc = mix(ids.astype(np.int64).view(np.uint64) ^ np.uint64(0x5A5A5A5A5A5A5A5A))
+    return doc if line is None else mix(doc + line.astype(np.uint64) + np.uint64(1))
+
+
+def _spots(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a filter's ``n`` words a key has, and its five bits there."""
+    bits = np.zeros(len(keys), np.uint64)
+    for k in range(5):
+        bits |= np.uint64(1) << (keys >> np.uint64(6 * k) & np.uint64(63))
+    return ((keys >> np.uint64(30)) % np.uint64(n)).astype(np.int64), bits
+
+
+def _marks(n: int):
+    """The filter's words that a task's wanted lines, ``doc_id, line``, and their documents mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(n, np.uint64)
+        for batch in batches:
+            ids, line = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for keys in (_keys(ids), _keys(ids, line)):
+                np.bitwise_or.at(marks, *_spots(keys, n))
+        used = np.flatnonzero(marks)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(marks[used].view(np.int64))], names=["at", "bits"])
+
+    return run
+
+
+def _wanted_filter(places: DataFrame) -> np.ndarray:
+    """A Bloom filter of the lines ``doc_id, line`` of a staged table and of their documents: 32 bits for each line while it fits ``MOST_FILTER``."""
+    n = min(MOST_FILTER, places.count() // 2 + 1)
+    found = places.select("doc_id", "line").mapInArrow(_marks(n), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    marks = np.zeros(n, np.uint64)
+    marks[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return marks
+
+
+def _passing_sets(levels, marks):
+    """The ordered sets of the lines of texts, ``doc_id, text``, that pass the filter of wanted lines."""
+
+    def passes(keys: np.ndarray) -> np.ndarray:
+        at, bits = _spots(keys, len(marks.value))
+        return marks.value[at] & bits == bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            some = np.flatnonzero(passes(_keys(ids)))
+            ids, texts = ids[some], utf8(batch.column(1).take(pa.array(some)))
+            for a, b in chunks(texts):
+                lines = Lines(texts[a:b], levels.value)
+                ref, tail = lines.classes()
+                doc = ids[a:b][lines.doc]
+                k = np.flatnonzero(passes(_keys(doc, lines.number)))
+                words = [lines.words[lines.first[i] : lines.first[i + 1]].tobytes() for i in k]
+                yield pa.RecordBatch.from_arrays([pa.array(ref[k]), pa.array(tail[k]), pa.array(doc[k]), pa.array(lines.number[k].astype(np.int32)), pa.array(words, pa.binary())], names=["ref", "tail", "doc_id", "line", "words"])
+
+    return run
+
+
 _MEETING = ["dense", "word", "own", "other"]
 _ATTENDS = {
     "dense": pa.bool_(), "word": pa.int64(), "own": pa.int64(), "other": pa.int64(), "block": pa.int64(), "by": pa.list_(pa.int64()),
@@ -531,12 +621,21 @@ def _verified(mixed: DataFrame, classes: DataFrame, texts: DataFrame, levels, sl
     at = lambda rows, of, flag: attend(rows, of, "word").select("ref", F.struct(F.lit(flag).alias("dense"), "word", "own", "other", "block", "by").alias("at"))
     members = at(end_rows, listed, False).unionByName(at(dense, dense_meetings, True))
     by_ref = stage_table(members.groupBy("ref").agg(F.collect_list("at").alias("meetings")))
-    wanted = classes.join(by_ref, "ref").groupBy(F.col("first_doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first_line").alias("line"), "ref", "tail", "meetings")).alias("lines"))
     few = (by_ref.agg(F.sum(F.size("meetings") + F.aggregate("meetings", F.lit(0), lambda n, m: n + F.size(m["by"])))).first()[0] or 0) <= MOST_BROADCAST
-    rows = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "text", "lines").mapInArrow(_sets(levels), _ATTENDS_SCHEMA)
+    places = classes.join(by_ref, "ref").select("ref", "tail", F.col("first_doc_id").alias("doc_id"), F.col("first_line").alias("line"), "meetings")
+    if few:
+        wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("line", "ref", "tail", "meetings")).alias("lines"))
+        rows = texts.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "lines").mapInArrow(_sets(levels), _ATTENDS_SCHEMA)
+    else:  # texts stay where they are: only the sets of wanted lines, and the few others that pass a filter, are shuffled
+        places = stage_table(places)
+        marks = texts.sparkSession.sparkContext.broadcast(_wanted_filter(places))
+        sets = texts.mapInArrow(_passing_sets(levels, marks), "ref long, tail int, doc_id long, line int, words binary")
+        rows = sets.join(places, ["ref", "tail", "doc_id", "line"]).select("ref", "tail", "doc_id", "line", "words", F.inline("meetings"))
+    # Sets and pairs go to their meeting in one shuffle: joining the pairs to the gathered sets would shuffle those again.
+    row = F.struct("block", "by", "ref", "tail", "doc_id", "line", "words").alias("row")
+    both = rows.select(*_MEETING, row).unionByName(listed.withColumn("dense", F.lit(False)), allowMissingColumns=True)
     return (
-        rows.groupBy(*_MEETING).agg(F.collect_list(F.struct("block", "by", "ref", "tail", "doc_id", "line", "words")).alias("rows"))
-        .join(listed.withColumn("dense", F.lit(False)), _MEETING, "left")
+        both.groupBy(*_MEETING).agg(F.collect_list("row").alias("rows"), F.first("pairs", ignorenulls=True).alias("pairs"))
         .select("own", "other", "rows", "pairs").mapInArrow(_verify(slots, t), _LINKS)
     )
 
